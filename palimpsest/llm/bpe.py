@@ -13,8 +13,9 @@ that agree in a piece agree from there on; and inside a piece, a row of BPE toke
 of its text if each two neighbours are the encoding of theirs, which left part, window and right
 part each assure, as they share tokens. Tests hold it against the library on random texts.
 
-Short texts are leaves. A leaf is encoded through a memo of the runs between ASCII white space, where
-the vocabulary's normaliser and split pattern drop that white space.
+Where the vocabulary drops white space, a leaf is a list of runs between white space; the window at a
+join grows until it reaches white space on both sides, and the run across the join is encoded anew.
+A run longer than a leaf goes through the tree token by token. Runs are encoded through a memo.
 
 Edge cases: null and empty texts have no ids and decode to an empty text.
 """
@@ -25,6 +26,8 @@ import hashlib
 import json
 import os
 import re
+from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +38,7 @@ LEAF = 16384
 WINDOW = 64
 RUN = 3
 MARGIN = 16
-_BETWEEN = re.compile("[\x20\x09-\x0d]+")
+KEPT = "\x1c\x1d\x1e\x1f"
 _RUNS = re.compile("[^\x20\x09-\x0d]+")
 
 
@@ -56,6 +59,7 @@ class Coder:
         said = json.loads(self.tokenizer.to_str())
         #: White space is dropped, so that what lies between is encoded alone.
         self.drops_space = "invert" in json.dumps(said["pre_tokenizer"]) and "\\\\s" in json.dumps(said["pre_tokenizer"])
+        self.digits = [str(k) for k in range(self.tokenizer.get_vocab_size())]
         self.memo = C.Memo(self._runs)
         self.spans = C.Memo(self._run_spans, 60_000)
 
@@ -103,27 +107,54 @@ class Coder:
                 return np.concatenate([left[: first[0]], middle[first[1] : second[0]], right[second[1] :]])
             w *= 2
 
-    def long(self, text: str) -> bytes:
-        """The ids of a long text."""
+    def cuts(self, text: str) -> list[int]:
+        """Where halving cuts a text into leaves."""
         cuts = [0, len(text)]
         while max(np.diff(cuts)) > self.leaf:
             cuts = sorted({*cuts, *((x + y) // 2 for x, y in zip(cuts, cuts[1:], strict=False) if y - x > self.leaf)})
+        return cuts
+
+    def tree(self, text: str) -> bytes:
+        """The ids of a long text, joined token by token."""
+        cuts = self.cuts(text)
         parts = self.leaves([text[x:y] for x, y in zip(cuts, cuts[1:], strict=False)], cuts[:-1])
         while len(parts) > 1:
             joined = [self.join(text, parts[k], parts[k + 1], cuts[k], cuts[k + 1], cuts[k + 2]) for k in range(0, len(parts) - 1, 2)]
-            parts, cuts = joined + parts[len(joined) * 2 :], cuts[:: 2] + ([cuts[-1]] if len(parts) % 2 else [])
+            parts, cuts = joined + parts[len(joined) * 2 :], cuts[::2] + ([cuts[-1]] if len(parts) % 2 else [])
         return parts[0][:, 0].astype("<u4").tobytes()
 
+    def run_tree(self, text: str) -> list[str]:
+        """The runs of a long text: at a join, the window grows to white space on either side, where both halves agree with it."""
+        split, cuts = self.splitter(text), self.cuts(text)
+        parts = [split(text[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]
+        while len(parts) > 1:
+            joined = []
+            for k in range(0, len(parts) - 1, 2):
+                left, right, j, w = parts[k], parts[k + 1], cuts[k + 1], self.window
+                lo, hi = cuts[k], cuts[k + 2]
+                while (j - w > lo and split(text[j - w : j]) == [text[j - w : j]]) or (j + w < hi and split(text[j : j + w]) == [text[j : j + w]]):
+                    w *= 2
+                whole = split(text[max(lo, j - w) : min(hi, j + w)])
+                a, b = split(text[max(lo, j - w) : j]), split(text[j : min(hi, j + w)])
+                joined.append(left + right if len(whole) == len(a) + len(b) else [*left[:-1], whole[len(a) - 1], *right[1:]])
+            parts, cuts = joined + parts[len(joined) * 2 :], cuts[::2] + ([cuts[-1]] if len(parts) % 2 else [])
+        return parts[0]
+
+    @staticmethod
+    def splitter(text: str) -> Callable[[str], list[str]]:
+        """What cuts this text into runs between white space; str.split() also cuts at four separators that the vocabulary keeps."""
+        return _RUNS.findall if any(x in text for x in KEPT) else str.split
+
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        short = [t if len(t) <= self.leaf else "" for t in texts]
-        if self.drops_space:
-            runs = [_BETWEEN.split(t) if t else [] for t in short]
-            memo = self.memo.fill(r for x in runs for r in x)
-            got = [b"".join([memo[r] for r in x]) for x in runs]
-        else:
-            got = self._runs(short)
-        return [np.frombuffer(self.long(t) if len(t) > self.leaf else g, "<u4") for t, g in zip(texts, got, strict=True)]
+        if not self.drops_space:
+            short = self._runs([t if len(t) <= self.leaf else "" for t in texts])
+            return [np.frombuffer(self.tree(t) if len(t) > self.leaf else g, "<u4") for t, g in zip(texts, short, strict=True)]
+        runs = [self.splitter(t)(t) if len(t) <= self.leaf else self.run_tree(t) for t in texts]
+        long = {r: self.tree(r) for x, t in zip(runs, texts, strict=True) if len(t) > self.leaf for r in x if len(r) > self.leaf}
+        memo = self.memo.fill((r for x in runs for r in x if len(r) <= self.leaf) if long else chain.from_iterable(runs))
+        get = (lambda r: long[r] if len(r) > self.leaf else memo[r]) if long else memo.__getitem__
+        return [np.frombuffer(b"".join(map(get, x)), "<u4") for x in runs]
 
     def texts(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
@@ -175,7 +206,7 @@ def digest(docs: DataFrame, vocabulary: str) -> DataFrame:
         ids = [x.tolist() for x in coder.ids([(t or b"").decode() for t in texts])]
         for x, t in zip(ids, coder.texts(ids), strict=True):
             n.append(len(x))
-            a.append(hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest())
+            a.append(hashlib.sha256(" ".join(map(coder.digits.__getitem__, x)).encode()).hexdigest())
             b.append(hashlib.sha256(t.encode()).hexdigest())
         return doc_ids, n, a, b
 

@@ -48,7 +48,7 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the texts of a piece take about max_bytes (one row at least)."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0), dtype=np.int64)
     if sizes.sum() <= max_bytes:
@@ -62,7 +62,7 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 8 << 20) -> Iter
             yield batch.slice(a, b - a)
 
 
-def map_text(df: DataFrame, columns: list[str], schema: str, work: Callable[..., Iterable[tuple]], max_bytes: int = 8 << 20) -> DataFrame:
+def map_text(df: DataFrame, columns: list[str], schema: str, work: Callable[..., Iterable[tuple]], max_bytes: int = 4 << 20) -> DataFrame:
     """mapInArrow over (columns..., last one is text, as UTF-8 bytes): work(lists of values) gives a list per output column."""
     from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -106,7 +106,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class Memo(dict):
     """word -> value in two generations, so that its size stays bounded and frequent words stay."""
 
-    def __init__(self, make: Callable[[list], Iterable], limit: int = 300_000):
+    def __init__(self, make: Callable[[list], Iterable], limit: int = 100_000):
         super().__init__()
         self.make, self.limit, self.old = make, limit, {}
 
@@ -119,15 +119,12 @@ class Memo(dict):
             self.clear()
             new = keys
         if new:
-            old, rest = self.old, []
-            for k in new:
-                v = old.get(k)
-                if v is None:
-                    rest.append(k)
-                else:
-                    self[k] = v
-            if rest:
-                self.update(zip(rest, self.make(rest), strict=True))
+            rest = new.difference(self.old)
+            if len(rest) < len(new):
+                old = self.old
+                self.update([(k, old[k]) for k in new.difference(rest)])
+            rest = list(rest)
+            self.update(zip(rest, self.make(rest), strict=True))
         return self
 
 
@@ -146,14 +143,18 @@ class Pieces:
     def __call__(self, pieces: list[str], spans: bool = False) -> list:
         """Ids of each piece as little-endian unsigned 32-bit integers; with spans, an array with rows of (id, start, end)."""
         out: list = [None] * len(pieces)
-        alone = [k for k, p in enumerate(pieces) if self.mark is None or "<" in p]
-        kept = set(alone)
-        for k, e in zip(alone, self.tokenizer.encode_batch([pieces[k] for k in alone], add_special_tokens=False), strict=True):
-            out[k] = self._rows(e) if spans else np.array(e.ids, "<u4").tobytes()
-        rest = [k for k in range(len(pieces)) if k not in kept] if kept else list(range(len(pieces)))
-        groups = [rest[a : a + self.many] for a in range(0, len(rest), self.many)]
+        alone = range(len(pieces)) if self.mark is None else []
         encode = self.tokenizer.encode_batch if spans else self.tokenizer.encode_batch_fast
-        for group, e in zip(groups, encode([self.mark.join([pieces[k] for k in g]) for g in groups], add_special_tokens=False), strict=True):
+        for first in range(0, 0 if self.mark is None else len(pieces), self.many):
+            group = range(first, min(first + self.many, len(pieces)))
+            joined = self.mark.join(pieces[first : first + self.many])
+            if joined.count("<") != len(group) - 1:
+                alone = [*alone, *(k for k in group if "<" in pieces[k])]
+                group = [k for k in group if "<" not in pieces[k]]
+                joined = self.mark.join([pieces[k] for k in group])
+                if not group:
+                    continue
+            e = encode([joined], add_special_tokens=False)[0]
             ids = np.array(e.ids, "<u4")
             cuts = np.flatnonzero(ids == self.mark_id)
             if len(cuts) != len(group) - 1:
@@ -168,6 +169,8 @@ class Pieces:
             for k, a, b in zip(group, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True):
                 out[k] = rows[a:b] - np.array([0, at, at])
                 at += len(pieces[k]) + len(self.mark)
+        for k, e in zip(alone, self.tokenizer.encode_batch([pieces[k] for k in alone], add_special_tokens=False), strict=True):
+            out[k] = self._rows(e) if spans else np.array(e.ids, "<u4").tobytes()
         return out
 
     @staticmethod
@@ -175,5 +178,72 @@ class Pieces:
         return np.column_stack([np.array(e.ids, np.int64), np.array(e.offsets, np.int64).reshape(-1, 2)]) if e.ids else np.zeros((0, 3), np.int64)
 
 
+#: Bloom filters: places a key, ranges of keys that tasks build alone, keys a range at most before there are more ranges.
+PROBES, RANGES, MOST_RANGES, RANGE_KEYS, BITS_A_KEY = 4, 64, 4096, 1 << 24, 16
+
+
+class Bloom:
+    """A Bloom filter over 64-bit hashes, built by range in the tasks; `most_bits` bounds it."""
+
+    def __init__(self, rows: np.ndarray, bits: int, shift: int):
+        self.rows, self.bits, self.shift = rows, bits, shift
+
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        at = _places(h, self.bits)
+        found = self.rows[(h >> np.uint64(self.shift)).astype(np.int64)[:, None], at >> np.uint64(3)]
+        return ((found >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
+
+    @classmethod
+    def of(cls, hashes: DataFrame, n: int, most_bits: int, twice: bool = False) -> "Bloom":
+        """Of the hashes in a binary column of packed little-endian 64-bit hashes, n in all; with twice, of those that two rows hold or more."""
+        ranges = RANGES
+        while ranges < MOST_RANGES and n > RANGE_KEYS * ranges:
+            ranges *= 2
+        shift = 65 - ranges.bit_length()
+        bits = 1 << 10
+        while bits * ranges < min(most_bits, BITS_A_KEY * n):
+            bits *= 2
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                h = np.frombuffer(b"".join(b.column(0).to_pylist()), "<u8")
+                r = (h >> np.uint64(shift)).astype(np.int64)
+                order = np.argsort(r, kind="stable")
+                cuts = np.searchsorted(r[order], np.arange(ranges + 1))
+                rows = [(k, h[order[x:y]].tobytes()) for k, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if y > x]
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.binary())], names=["r", "h"])
+
+        def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            once: dict[int, np.ndarray] = {}
+            again: dict[int, np.ndarray] = {}
+            for b in batches:
+                for r, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    if r not in once:
+                        once[r], again[r] = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
+                    first, count = np.unique(np.frombuffer(raw, "<u8"), return_counts=True)
+                    at = _places(first, bits)
+                    if twice:
+                        seen = ((once[r][at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1) | (count > 1)
+                        _put(again[r], at[seen])
+                    _put(once[r], at)
+            kept = again if twice else once
+            yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.int32()), pa.array([x.tobytes() for x in kept.values()], pa.binary())], names=["r", "bits"])
+
+        rows = np.zeros((ranges, bits // 8), np.uint8)
+        for row in hashes.mapInArrow(deal, "r int, h binary").repartition(ranges, "r").mapInArrow(build, "r int, bits binary").collect():  # most_bits at most
+            rows[row.r] = np.frombuffer(row.bits, np.uint8)
+        return cls(rows, bits, shift)
+
+
+def _places(h: np.ndarray, bits: int) -> np.ndarray:
+    a, b = mix64(h), mix64(h ^ np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    return (a[:, None] + b[:, None] * np.arange(PROBES, dtype=np.uint64)) & np.uint64(bits - 1)
+
+
+def _put(bitmap: np.ndarray, at: np.ndarray) -> None:
+    at = at.ravel()
+    np.bitwise_or.at(bitmap, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

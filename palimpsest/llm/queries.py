@@ -6,15 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, token_files
+from . import bpe, line_dedup, near_dedup, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": token_files.query,
+        "op2_line_dedup": line_dedup.query,
+        "op8_near_dedup": near_dedup.query,
         "op9_bpe": bpe.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_line_dedup": line_dedup.SQL,
+        "op8_near_dedup": near_dedup.SQL,
+    }

@@ -19,6 +19,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -104,8 +105,8 @@ class Encoder:
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         cut = [self.pieces(t) if t else [] for t in texts]
-        memo = self.memo.fill(p for x in cut for p in x)
-        return [b"".join([memo[p] for p in x]) for x in cut]
+        memo = self.memo.fill(chain.from_iterable(cut))
+        return [b"".join(map(memo.__getitem__, x)) for x in cut]
 
 
 def encode(docs: DataFrame, vocabulary: str, end_id: int = 0) -> DataFrame:
