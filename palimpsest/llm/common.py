@@ -40,11 +40,15 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
+#: Intermediate tables hold hashes and packed arrays: no dictionaries, and row groups that a small executor can buffer.
+WRITE = {"compression": "zstd", "parquet.enable.dictionary": "false", "parquet.block.size": str(16 << 20)}
+
+
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = path or scratch_path(spark, name)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    df.write.mode("overwrite").options(**WRITE).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

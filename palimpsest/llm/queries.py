@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, near_dedup, token_files
+from . import bpe, chat, line_dedup, near_dedup, quality, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": token_files.query,
         "op2_line_dedup": line_dedup.query,
+        "op4_quality": quality.query,
+        "op5_toxicity": toxicity.query,
+        "op7_chat": chat.query,
         "op8_near_dedup": near_dedup.query,
         "op9_bpe": bpe.query,
     }
@@ -21,5 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_dedup": line_dedup.SQL,
+        "op4_quality": quality.SQL,
+        "op7_chat": chat.SQL,
         "op8_near_dedup": near_dedup.SQL,
     }

@@ -79,7 +79,12 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.batch = C.Pieces(self.tokenizer)
-        self.memo = C.Memo(self.batch)
+        size = self.tokenizer.get_vocab_size()
+        #: Ids in memory: two bytes each where they fit.
+        self.kind = "<u2" if size <= 1 << 16 else "<u4"
+        #: Bytes of each token: the vocabulary is byte-level, so a token has a character a byte.
+        self.n_bytes = np.array([len(self.tokenizer.id_to_token(k) or "") for k in range(size)])
+        self.memo = C.Memo(self.encode, 200_000)
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -87,6 +92,25 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
+    def encode(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece. Pieces that safe cuts would set apart are encoded as one text, whose ids are dealt out by the bytes they cover."""
+        out: list = [None] * len(pieces)
+        plain = [k for k, p in enumerate(pieces) if p[:1] == " " and len(p) > 1 and not p[-1].isspace() and "<" not in p]
+        for first in range(0, len(plain), 4096):
+            group = plain[first : first + 4096]
+            texts = [pieces[k] for k in group]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.cumsum([len(t) if t.isascii() else len(t.encode()) for t in texts])
+            cuts = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1
+            raw, a = ids.tobytes(), 0
+            for k, b in zip(group, (ids.itemsize * cuts).tolist(), strict=True):
+                out[k] = raw[a:b]
+                a = b
+        rest = [k for k, x in enumerate(out) if x is None]
+        for k, x in zip(rest, self.batch([pieces[k] for k in rest]), strict=True):
+            out[k] = np.frombuffer(x, "<u4").astype(self.kind).tobytes()
+        return out
+
     @staticmethod
     def pieces(text: str) -> list[str]:
         if "\0" not in text and not any(x in text for x in (SPACED_ASCII if text.isascii() else SPACED)):
@@ -103,36 +127,35 @@ class Encoder:
         return out
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
+        """The ids of each text, packed as `kind`."""
         cut = [self.pieces(t) if t else [] for t in texts]
         memo = self.memo.fill(chain.from_iterable(cut))
         return [b"".join(map(memo.__getitem__, x)) for x in cut]
 
 
-def encode(docs: DataFrame, vocabulary: str, end_id: int = 0) -> DataFrame:
-    """(doc_id, n_tokens, ids) of each row: ids as little-endian unsigned 32-bit integers, end_id appended."""
-    end = np.array([end_id], "<u4").tobytes()
+def encode(docs: DataFrame, vocabulary: str, end_id: int = 0) -> tuple[DataFrame, str]:
+    """(doc_id, n_tokens, ids) of each row, end_id appended, and how the ids are packed: little-endian, 2 or 4 bytes each."""
+    kind = Encoder.of(vocabulary).kind
+    end = np.array([end_id], kind).tobytes()
 
     def work(doc_ids, texts):
         ids = [x + end for x in Encoder.of(vocabulary).ids([(t or b"").decode() for t in texts])]
-        return doc_ids, [len(x) // 4 for x in ids], ids
+        return doc_ids, [len(x) // len(end) for x in ids], ids
 
-    return C.map_text(docs, ["doc_id", "text"], "doc_id long, n_tokens long, ids binary", work)
+    return C.map_text(docs, ["doc_id", "text"], "doc_id long, n_tokens long, ids binary", work), kind
 
 
-def rank_table(encoded: DataFrame, path: str) -> DataFrame:
+def rank_table(encoded: DataFrame, kind: str, path: str) -> DataFrame:
     """(rank, id, n) over all ids: as many rows as the vocabulary has, at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(0, np.int64)
         for b in batches:
-            for x in b.column(0).to_pylist():
-                c = np.bincount(np.frombuffer(x, "<u4"))
+            for x in b.column(0):
+                c = np.bincount(np.frombuffer(x.as_buffer(), kind))
                 if len(c) > len(n):
-                    c[: len(n)] += n
-                    n = c
-                else:
-                    n[: len(c)] += c
+                    n = np.concatenate([n, np.zeros(len(c) - len(n), np.int64)])
+                n[: len(c)] += c
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["id", "n"])
 
@@ -148,8 +171,9 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0) -> None:
     """Encode docs (doc_id, text) and write the files under path (`ids`, `ranks`), in ascending doc_id order."""
     spark = docs.sparkSession
     plain = C.scratch_path(spark, "ids")
-    encoded = C.written(encode(docs, vocabulary, end_id), "ids", plain)
-    ranks = [r.id for r in rank_table(encoded, f"{path}/ranks").orderBy("rank").collect()]
+    encoded, kind = encode(docs, vocabulary, end_id)
+    encoded = C.written(encoded, "ids", plain)
+    ranks = [r.id for r in rank_table(encoded, kind, f"{path}/ranks").orderBy("rank").collect()]
     to_rank = np.zeros(max(ranks, default=0) + 1, "<u4")
     to_rank[ranks] = np.arange(len(ranks))
     to_rank = spark.sparkContext.broadcast(to_rank)
@@ -159,17 +183,17 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0) -> None:
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, block = TaskContext.get().partitionId(), 0
+        part, block, width = TaskContext.get().partitionId(), 0, np.dtype(kind).itemsize
         held: list[tuple[int | None, bytes]] = []
         size = before = 0
 
         def row() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(x for _, x in held), "<u4")
+            ids = np.frombuffer(b"".join(x for _, x in held), kind)
             control, data = pack(to_rank.value[ids])
             names = [i for i, _ in held]
             columns = {
                 "part": part, "block": block, "before": before, "n_docs": len(held), "doc_ids": np.array([i or 0 for i in names], "<i8").tobytes(),
-                "null_ids": bytes(i is None for i in names), "doc_tokens": np.array([len(x) // 4 for _, x in held], "<i8").tobytes(),
+                "null_ids": bytes(i is None for i in names), "doc_tokens": np.array([len(x) // width for _, x in held], "<i8").tobytes(),
                 "n_ids": len(ids), "control": control, "data": data,
             }
             return pa.RecordBatch.from_pylist([columns], schema=pa.schema([("part", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("n_docs", pa.int32()), ("doc_ids", pa.binary()), ("null_ids", pa.binary()), ("doc_tokens", pa.binary()), ("n_ids", pa.int64()), ("control", pa.binary()), ("data", pa.binary())]))
@@ -177,7 +201,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0) -> None:
         for b in batches:
             for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 held.append((i, x))
-                size += len(x) // 4
+                size += len(x) // width
                 if size >= BLOCK_IDS:
                     yield row()
                     before += size
@@ -186,7 +210,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0) -> None:
             yield row()
 
     ordered = encoded.select("doc_id", "ids").repartitionByRange(int(parts), F.col("doc_id").asc_nulls_first(), F.xxhash64("ids")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("ids"))
-    ordered.mapInArrow(blocks, FILE_SCHEMA).write.mode("overwrite").parquet(f"{path}/ids")
+    ordered.mapInArrow(blocks, FILE_SCHEMA).write.mode("overwrite").options(**C.WRITE).parquet(f"{path}/ids")
     C.drop_path(spark, plain)
 
 
