@@ -10,10 +10,10 @@
    (prefix merging).
 3. Posting lists never become all their pairs. In each of ROUNDS rounds, a list's members are compared with
    one pivot, and links are confirmed on the full shingle sets; linked classes fall into one component.
-   Then only lists that still hold several components go on, and at last those lists are joined block
-   by block: collisions are counted in the block, and pairs of different components that collide
-   MATCHES times or more are confirmed on full sets too. Pairs inside a component need no comparison,
-   as a link between them changes nothing.
+   Then only lists that still hold several components go on, and at last the members of those lists are
+   joined block by block: collisions are counted in the block, pairs of different components that collide
+   MATCHES times or more are confirmed there on full sets too, and only links that join components
+   leave the block. Pairs inside a component need no comparison, as a link between them changes nothing.
 
 Shingles are 64-bit hashes of five word hashes; a pair of sets of 1,000 shingles has a chance of about
 1e-13 that two differ in text and not in hash.
@@ -40,7 +40,7 @@ COORDINATES = 64
 MATCHES = 30
 PERCENT = 75
 ROUNDS = 3
-BLOCK = 128
+BLOCK, BLOCK_SHINGLES = 256, 100_000
 BUCKETS = 32
 FILTER_BITS = 1 << 28
 
@@ -115,12 +115,12 @@ def tokens_of(sigs: list[bytes]) -> np.ndarray:
 
 
 def prefixes(classes: DataFrame) -> DataFrame:
-    """(token, rep): the rarest tokens of each class that can still collide MATCHES times."""
+    """(token, rep, popular): the rarest tokens of each class that can still collide MATCHES times; popular sums its tokens' classes."""
     posted = postings(classes)
     shared = posted.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    kept = posted.join(shared, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("x")).where(F.size("x") >= MATCHES)
+    kept = posted.join(shared, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("x"), F.sum("n").alias("popular")).where(F.size("x") >= MATCHES)
     # the COORDINATES - size(x) tokens that no other class has come first in the order
-    return kept.select("rep", F.explode(F.expr(f"slice(x, 1, size(x) - {MATCHES} + 1)")).alias("y")).select(F.col("y.token").alias("token"), "rep")
+    return kept.select("rep", "popular", F.explode(F.expr(f"slice(x, 1, size(x) - {MATCHES} + 1)")).alias("y")).select(F.col("y.token").alias("token"), "rep", "popular")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -186,37 +186,81 @@ def merged(component: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def mixed(lists: DataFrame, component: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Members (token, rep, comp) and, of lists with several components, (token, pivot, pivot_comp, size)."""
+    """Members (token, rep, comp) and, of lists with several components, (token, pivot, pivot_comp, first)."""
     members = lists.join(component, "rep")
-    first = F.struct(F.lit(0).cast("long") if not seed else F.xxhash64(F.lit(seed), "rep"), "rep", "comp")
-    heads = members.groupBy("token").agg(F.min(first).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-    return members, heads.select("token", F.col("p.rep").alias("pivot"), F.col("p.comp").alias("pivot_comp"), "size")
-
-
-def block_pairs(members: DataFrame, heads: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b) of different components that share a list and collide MATCHES times or more: lists in blocks of about BLOCK, two at a time."""
-    parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = members.join(heads.select("token", parts.alias("parts")), "token").join(classes.select("rep", "sig"), "rep")
-    own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
-    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    # an original shares its tokens with all its copies, which share fewer among themselves: it is the first pivot
+    order = F.col("popular") if not seed else F.xxhash64(F.lit(seed), "rep")
+    pivot = F.max(F.struct(order, (-F.col("rep")).alias("rep"), "comp"))
+    heads = members.groupBy("token").agg(pivot.alias("p"), F.min("comp").alias("first"), F.max("comp").alias("last")).where("first <> last")
+    return members, heads.select("token", (-F.col("p.rep")).alias("pivot"), F.col("p.comp").alias("pivot_comp"), "first")
+
+
+def blocks(members: DataFrame, heads: DataFrame, component: DataFrame, classes: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) that join components: lists that share members form a cluster, whose members are compared in blocks, two at a time.
+
+    In each pair of blocks, collisions leave out what cannot be near; intersections of the rest are counted
+    on the full sets by multiplying their incidence matrices, and only links that join components leave it.
+    """
+    rows = members.join(heads.select("token", "first"), "token").select("rep", "comp", "first").distinct()
+    rows = C.written(rows, "near-mixed")
+    start = component.select(F.col("comp").alias("rep")).distinct().select("rep", F.col("rep").alias("comp"))
+    cluster = merged(C.written(start, "near-clusters"), rows.select(F.col("first").alias("a"), F.col("comp").alias("b")).where("a <> b").distinct()).select(F.col("rep").alias("comp"), F.col("comp").alias("cluster"))
+    held = rows.select("rep", "comp").distinct().join(cluster, "comp").join(classes.select("rep", "sig", "n_shingles"), "rep")
+    held = C.written(held, "near-held")
+    sizes = held.groupBy("cluster", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("m")).groupBy("cluster").agg(
+        F.max(F.struct("n", "comp")).alias("big"), F.sum("n").alias("n"), F.sum("m").alias("m"))
+    each = F.least(F.lit(BLOCK), F.greatest(F.lit(8), F.floor(F.col("n") * BLOCK_SHINGLES / F.col("m"))))
+    sizes = sizes.select("cluster", F.col("big.comp").alias("big"), F.ceil((F.col("n") - F.col("big.n")) / each).cast("int").alias("rest"), F.ceil(F.col("big.n") / each).cast("int").alias("of_big"))
+    # blocks of the largest component are compared with the others only
+    dealt = held.join(sizes, "cluster").withColumn("is_big", F.col("comp") == F.col("big"))
+    h = F.xxhash64("rep")
+    dealt = dealt.withColumn("own", F.when(F.col("is_big"), F.col("rest") + F.pmod(h, "of_big")).otherwise(F.pmod(h, "rest")).cast("int"))
+    others = F.when(F.col("is_big"), F.sequence(F.lit(0), F.col("rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("rest") + F.col("of_big") - 1))
+    dealt = dealt.where("rest > 0").join(sets, "rep").withColumn("other", F.explode(others))
+    dealt = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp", "sig", "set")
 
     def join(key, table):
-        rep, comp = table["rep"].to_numpy(), table["comp"].to_numpy()
-        own = table["own"].to_numpy()
-        sigs = np.frombuffer(b"".join(table["sig"].to_pylist()), "<u4").reshape(-1, COORDINATES)
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        rep, comp, own = table["rep"].to_numpy(), table["comp"].to_numpy(), table["own"].to_numpy()
+        i, j = key[1].as_py(), key[2].as_py()
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        a, b = [], []
-        for x in left:
-            y = right[(comp[right] != comp[x]) & ((rep[right] > rep[x]) | (i != j))]
-            y = y[(sigs[y] == sigs[x]).sum(axis=1) >= MATCHES]
-            a.append(np.full(len(y), rep[x]))
-            b.append(rep[y])
-        a, b = np.concatenate(a) if a else np.zeros(0, np.int64), np.concatenate(b) if b else np.zeros(0, np.int64)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return dealt.select("token", "i", "j", "own", "rep", "comp", "sig").groupBy("token", "i", "j").applyInArrow(join, "a long, b long").distinct()
+        sigs = np.frombuffer(b"".join(table["sig"].to_pylist()), "<u4").reshape(-1, COORDINATES)
+        near = np.zeros((len(left), len(right)), bool)
+        for k, x in enumerate(left):
+            near[k] = ((sigs[right] == sigs[x]).sum(axis=1) >= MATCHES) & (comp[right] != comp[x])
+        left, right, near = left[near.any(axis=1)], right[near.any(axis=0)], near[near.any(axis=1)][:, near.any(axis=0)]
+        found: list[tuple[int, int]] = []
+        if len(left):
+            packed = table["set"]
+            x, y = [np.frombuffer(packed[k].as_buffer(), "<u8") for k in left], [np.frombuffer(packed[k].as_buffer(), "<u8") for k in right]
+            size_x, size_y = np.array(list(map(len, x))), np.array(list(map(len, y)))
+            words, number = np.unique(np.concatenate(x + y), return_inverse=True)
+            both = np.zeros((len(x), len(y)), np.float32)
+            owner = np.repeat(np.arange(len(x) + len(y)), np.concatenate([size_x, size_y]))
+            by = np.argsort(number, kind="stable")
+            owner, number = owner[by], number[by]
+            for lo in range(0, len(words), 8192):
+                a, b = np.searchsorted(number, [lo, lo + 8192])
+                m = np.zeros((len(x) + len(y), min(8192, len(words) - lo)), np.float32)
+                m[owner[a:b], number[a:b] - lo] = 1
+                both += m[: len(x)] @ m[len(x) :].T
+            both = both.astype(np.int64)
+            near &= 100 * both >= percent * (size_x[:, None] + size_y[None, :] - both)
+            root: dict[int, int] = {}
+
+            def find(c: int) -> int:
+                while root.get(c, c) != c:
+                    c = root[c]
+                return c
+
+            for p, q in zip(*np.nonzero(near), strict=True):
+                u, v = int(left[p]), int(right[q])
+                a, b = find(int(comp[u])), find(int(comp[v]))
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    found.append((int(rep[u]), int(rep[v])))
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    return dealt.groupBy("cluster", "i", "j").applyInArrow(join, "a long, b long")
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -228,26 +272,23 @@ def components(docs: DataFrame) -> DataFrame:
     part = real.groupBy("digest", bucket).agg(F.min("doc_id").alias("rep"))
     classes = C.written(part.groupBy("digest").agg(F.min("rep").alias("rep"), F.collect_set("bucket").alias("buckets")), "near-classes")
     # a doc_id with several rows can stand for several classes: they are one node
-    heads = C.written(real.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"]).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "sig"), "near-heads")
+    heads = C.written(real.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"]).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "sig", "n_shingles"), "near-heads")
     lists = C.written(prefixes(heads), "near-prefixes")
     wanted = C.written(lists.select("rep").distinct(), "near-wanted")
     component = wanted.select("rep", F.col("rep").alias("comp"))
     sets = None
-    for seed in range(ROUNDS + 1):
+    for seed in range(ROUNDS):
         members, pivots = mixed(lists, component, seed)
-        if seed < ROUNDS:
-            near = members.join(pivots, "token").where("comp <> pivot_comp").groupBy("rep", "pivot").agg(F.count("*").alias("n"))
-            best = near.groupBy("rep").agg(F.max(F.struct("n", (-F.col("pivot")).alias("m"))).alias("x")).select((-F.col("x.m")).alias("a"), F.col("rep").alias("b"))
-        else:
-            best = block_pairs(members, pivots, heads)
-        pairs = C.written(best, "near-pairs")
+        near = members.join(pivots, "token").where("comp <> pivot_comp").groupBy("rep", "pivot").agg(F.count("*").alias("n"))
+        pairs = C.written(near.groupBy("rep").agg(F.max(F.struct("n", (-F.col("pivot")).alias("m"))).alias("x")).select((-F.col("x.m")).alias("a"), F.col("rep").alias("b")), "near-pairs")
         if not pairs.head(1):
-            if seed < ROUNDS:
-                break
-            continue
+            break
         if sets is None:
             sets = C.written(sets_of(docs, wanted), "near-sets")
         component = merged(component, C.written(confirm(pairs, sets), "near-links"))
+    else:
+        members, pivots = mixed(lists, component, ROUNDS)
+        component = merged(component, C.written(blocks(members, pivots, component, heads, sets), "near-links"))
     named = classes.join(component, "rep", "left").select("digest", F.coalesce("comp", "rep").alias("component_id"), F.explode("buckets").alias("bucket"))
     out = marks.select("doc_id", "n_shingles", "digest", bucket).join(named, ["digest", "bucket"], "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))

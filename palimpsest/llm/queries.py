@@ -6,18 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, line_dedup, near_dedup, quality, token_files, toxicity
+from . import ann, bpe, chat, line_dedup, mixing, near_dedup, quality, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": token_files.query,
         "op2_line_dedup": line_dedup.query,
+        "op3_mixing": mixing.query,
         "op4_quality": quality.query,
         "op5_toxicity": toxicity.query,
         "op7_chat": chat.query,
         "op8_near_dedup": near_dedup.query,
         "op9_bpe": bpe.query,
+        "op10_ann": ann.query,
     }
 
 
@@ -27,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_quality": quality.SQL,
         "op7_chat": chat.SQL,
         "op8_near_dedup": near_dedup.SQL,
+        "op10_ann": ann.SQL,
     }
