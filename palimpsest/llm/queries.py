@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, line_dedup, mixing, near_dedup, quality, token_files, toxicity
+from . import ann, bpe, chat, line_dedup, lm_scoring, mixing, near_dedup, quality, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mixing": mixing.query,
         "op4_quality": quality.query,
         "op5_toxicity": toxicity.query,
+        "op6_lm_scoring": lm_scoring.query,
         "op7_chat": chat.query,
         "op8_near_dedup": near_dedup.query,
         "op9_bpe": bpe.query,
