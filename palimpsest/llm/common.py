@@ -79,7 +79,9 @@ def map_text(df: DataFrame, columns: list[str], schema: str, work: Callable[...,
             for batch in slices(whole, text, max_bytes):
                 got = work(*(batch.column(i).to_pylist() for i in range(batch.num_columns - 1)), batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(got, out, strict=True)], schema=out)
+            pa.default_memory_pool().release_unused()
 
+    bounded(df.sparkSession)
     return df.select(*columns).mapInArrow(run, schema)
 
 
@@ -249,5 +251,19 @@ def _put(bitmap: np.ndarray, at: np.ndarray) -> None:
     np.bitwise_or.at(bitmap, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
 
 
+#: What a batch of Arrow rows on its way to Python takes at most, so that workers stay small on small executors.
+BATCH_BYTES = 8 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Bound Arrow batches by size (the session's own bound stays if it is smaller)."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "").lower()
+    size = int(now.rstrip("bkmg") or 0) << {"k": 10, "m": 20, "g": 30}.get(now[-1:], 0)
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
