@@ -258,7 +258,7 @@ BATCH_BYTES = 8 << 20
 def bounded(spark: SparkSession) -> None:
     """Bound Arrow batches by size (the session's own bound stays if it is smaller)."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(key, "").lower()
+    now = spark.conf.get(key).lower()
     size = int(now.rstrip("bkmg") or 0) << {"k": 10, "m": 20, "g": 30}.get(now[-1:], 0)
     if not 0 < size <= BATCH_BYTES:
         spark.conf.set(key, f"{BATCH_BYTES}b")
