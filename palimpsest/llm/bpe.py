@@ -65,6 +65,7 @@ class Coder:
 
     @classmethod
     def of(cls, path: str) -> "Coder":
+        C.hold("bpe", cls._made.clear)
         if path not in cls._made:
             cls._made[path] = cls(path)
         return cls._made[path]

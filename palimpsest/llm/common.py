@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 import zlib
@@ -66,6 +69,26 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -> Iter
             yield batch.slice(a, b - a)
 
 
+_holder: list = ["", None]
+
+
+def hold(name: str, drop: Callable[[], None]) -> None:
+    """Called where an operator fills caches of a worker process: workers outlive operators, so that the caches of the one before go first."""
+    if _holder[0] != name:
+        if _holder[1]:
+            _holder[1]()
+        _holder[:] = [name, drop]
+        trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_text(df: DataFrame, columns: list[str], schema: str, work: Callable[..., Iterable[tuple]], max_bytes: int = 4 << 20) -> DataFrame:
     """mapInArrow over (columns..., last one is text, as UTF-8 bytes): work(lists of values) gives a list per output column."""
     from pyspark.sql.types import _parse_datatype_string
@@ -79,7 +102,7 @@ def map_text(df: DataFrame, columns: list[str], schema: str, work: Callable[...,
             for batch in slices(whole, text, max_bytes):
                 got = work(*(batch.column(i).to_pylist() for i in range(batch.num_columns - 1)), batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(got, out, strict=True)], schema=out)
-            pa.default_memory_pool().release_unused()
+        trim()
 
     bounded(df.sparkSession)
     return df.select(*columns).mapInArrow(run, schema)
@@ -116,6 +139,10 @@ class Memo(dict):
         super().__init__()
         self.make, self.limit, self.old = make, limit, {}
 
+    def drop(self) -> None:
+        self.clear()
+        self.old = {}
+
     def fill(self, keys: Iterable) -> "Memo":
         """Afterwards every one of keys is in here."""
         keys = set(keys)
@@ -238,6 +265,7 @@ class Bloom:
         rows = np.zeros((ranges, bits // 8), np.uint8)
         for row in hashes.mapInArrow(deal, "r int, h binary").repartition(ranges, "r").mapInArrow(build, "r int, bits binary").collect():  # most_bits at most
             rows[row.r] = np.frombuffer(row.bits, np.uint8)
+        trim()
         return cls(rows, bits, shift)
 
 

@@ -51,6 +51,7 @@ _memo = C.Memo(_buckets)
 
 def features(texts: list[bytes | None]) -> list[np.ndarray]:
     """The hashed words of each text."""
+    C.hold("mixing", _memo.drop)
     split = [(t or b"").lower().split() for t in texts]
     memo = _memo.fill(w for x in split for w in set(x))
     return [np.fromiter(map(memo.__getitem__, x), np.int64, len(x)) for x in split]

@@ -58,6 +58,7 @@ _memo = C.Memo(_word_hashes)
 
 def shingles(texts: list[bytes | None]) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
+    C.hold("near dedup", _memo.drop)
     split = [(t or b"").lower().split() for t in texts]
     memo = _memo.fill(w for x in split for w in x)
     out = []

@@ -88,6 +88,7 @@ class Encoder:
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
+        C.hold("token files", cls._made.clear)
         if path not in cls._made:
             cls._made[path] = cls(path)
         return cls._made[path]

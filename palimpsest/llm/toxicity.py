@@ -42,8 +42,8 @@ SPAN, DECAY = 5, 0.6
 PATTERNS = [(a, b, DECAY ** (b - 2)) for b in range(2, SPAN) for a in range(1, b)]
 WIDTH, OVERLAP = 32, 8
 LANDMARKS, CLEAN_LANDMARKS = 64, 16
-GRAMS = range(4, 11)
-MOST_TOXIC, MOST_CLEAN = 1500, 3000
+GRAMS = range(4, 10)
+MOST_TOXIC, MOST_CLEAN = 1000, 2000
 #: A training text counts for landmarks until it holds so many.
 COVER = 3
 #: A landmark covers so large a share of the toxic training texts at least.
@@ -157,6 +157,7 @@ class Model:
         return [max(map(value.__getitem__, hit), default=none) if (hit := t & value.keys()) else none for t in texts]
 
     def scores(self, texts: list[set[bytes]]) -> list[float]:
+        C.hold("toxicity", lambda: None)
         return [1 / (1 + math.exp(-min(50.0, max(-50.0, self.slope * v + self.offset)))) for v in self.values(texts)]
 
 
@@ -239,6 +240,7 @@ def train(toxic: list[bytes], clean: list[bytes]) -> Model:
         model.weights, model.bias = svm(x, y, weight)
         pick = [z[np.argmax(z @ model.root @ model.weights)] for z in each if len(z)]
     v = np.array(model.values(good + bad))
+    C.trim()
     t = np.concatenate([np.full(len(good), 1 / (len(good) + 2)), np.full(len(bad), (len(bad) + 1) / (len(bad) + 2))])
     a = np.column_stack([v, np.ones(len(v))])
     w = np.zeros(2)
@@ -261,7 +263,9 @@ def labelled(docs: DataFrame, labels: DataFrame) -> tuple[list[bytes], list[byte
         ids = some if ids is None else ids.union(some)
     # MOST_TOXIC + MOST_CLEAN ids at most
     got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where("text IS NOT NULL").orderBy("doc_id").collect()
-    return [r.text.encode() for r in got if r.toxic == 1], [r.text.encode() for r in got if r.toxic == 0]
+    out = [r.text.encode() for r in got if r.toxic == 1], [r.text.encode() for r in got if r.toxic == 0]
+    C.trim()
+    return out
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -286,6 +290,7 @@ def filtered(docs: DataFrame, labels: DataFrame, cutoff: float = CUTOFF) -> Data
             for b in C.slices(whole, "text"):
                 ok = [s < cutoff for s in shared.value.scores([units(t) for t in b.column(at).cast(pa.binary()).to_pylist()])]
                 yield b.filter(pa.array(ok, pa.bool_()))
+        C.trim()
 
     return docs.mapInArrow(run, docs.schema)
 
