@@ -74,6 +74,8 @@ class Classifier:
     def posteriors(self, found: list[np.ndarray]) -> np.ndarray:
         """A row a text. SOFT words' worth of evidence at most, so that mixed texts stay mixed."""
         out = np.tile(self.prior, (len(found), 1))
+        if not self.domains:
+            return out
         for k, f in enumerate(found):
             if len(f):
                 out[k] += self.weights[f].mean(axis=0) * min(len(f), SOFT)
