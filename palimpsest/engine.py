@@ -15,7 +15,7 @@ from palimpsest.functions import temporal as T
 from palimpsest.functions import text as X
 from palimpsest.functions.embed import HashEmbedder, embedded
 from palimpsest.ledger import Ledger, Rejected, identifier, prepare
-from palimpsest.operators import graph, maintenance, paths, ranking, retrieval, validity
+from palimpsest.operators import graph, maintenance, paths, ranking, resolve, retrieval, validity
 from palimpsest.sources import exchange
 from palimpsest.sources.store import Store
 
@@ -187,7 +187,16 @@ class Engine:
         channels = [words, near.select("query_id", "id", "rank", F.lit("vector").alias("channel")), self._timed(memories, near, queries, clock, depth), *self._linked(memories, asked, near, clock, cut, history, depth)]
         weights = {"bm25": self.config.w_bm25, "vector": self.config.w_vector, "time": self.config.w_temporal, "graph": self.config.w_graph, "path": self.config.w_path}
         fused = ranking.rrf(reduce(DataFrame.unionByName, channels), weights, self.config)
+        # nothing is found for a query that only far vectors speak for
+        near_enough = near.where(F.col("cosine") >= self.config.abstain_cosine).select("query_id")
+        supported = reduce(DataFrame.unionByName, [c.select("query_id") for c in (channels[0], channels[2], channels[4])], near_enough).distinct()
+        fused = fused.join(supported, "query_id", "left_semi")
         rows = fused.join(memories, "id")
+        # a query about what is not so is answered by memories that say so, or that evidence a denial
+        denies = X.vectorised(paths.negated, "boolean")
+        asks = queries.select("query_id", denies(F.col("q")).alias("asks"))
+        denied = self.store.table("relations").where("polarity = 0").select(F.col("id").alias("relation_id")).join(self.store.table("relation_evidence"), "relation_id").select(F.col("memory_id").alias("id")).distinct().withColumn("denied", F.lit(True))
+        rows = rows.join(asks, "query_id").join(denied, "id", "left").where(~F.col("asks") | F.coalesce("denied", F.lit(False)) | denies(F.col("content"))).drop("asks", "denied")
         score = ranking.modified(F.col("score"), validity.ended(clock.now if cut is None else cut), F.lit(False), F.lit(clock.now) - F.col("valid_from"), F.col("importance"), history, cut is not None, self.config)
         rows = rows.withColumn("score", score).join(self.store.table("memories_vec").select("id", "embedding"), "id")
         best = retrieval.top(rows, 3 * k)
@@ -270,6 +279,28 @@ class Engine:
         timeline = t("memories").join(t("mentions").where(F.col("entity_id") == i).select(F.col("memory_id").alias("id")), "id").where(~validity.forgotten()).orderBy(F.col("valid_from").desc(), "id").limit(limit)
         return row | {"aliases": sorted(r.alias for r in t("entity_aliases").where(F.col("entity_id") == i).collect()), "facts": [r.asDict() for r in facts.collect()], "timeline": [r.asDict() for r in timeline.select("id", "content", "valid_from", "valid_to").collect()]}
 
+    def overview(self, k: int = 5, most: int = 200_000) -> list[dict]:
+        """The k communities that are mentioned most, each with its chief entities and a memory that stands for it.
+
+        Communities are found over relations between entities, the `most` with the most evidence at most (what a driver can hold), and kept until the next write.
+        """
+        if getattr(self, "_communities", (None,))[0] != self.store.generation:
+            pairs = self.store.table("relations").where("src <> dst").groupBy(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg(F.sum("evidence_count").alias("w"))
+            home = graph.louvain((r.u, r.v, float(r.w)) for r in pairs.orderBy(F.col("w").desc(), "u", "v").limit(most).collect())
+            self._communities = (self.store.generation, home)
+        home = self._communities[1]
+        if not home:
+            return []
+        t = self.store.table
+        member = self.spark.createDataFrame(sorted(home.items()), "entity_id long, community long")
+        named = member.join(t("entities"), F.col("entity_id") == F.col("id"))
+        cards = named.groupBy("community").agg(F.sum("mention_count").alias("score"), F.slice(F.sort_array(F.collect_list(F.struct("mention_count", "name")), asc=False), 1, 3).alias("chief"), F.count("*").alias("size"))
+        best = cards.orderBy(F.col("score").desc(), "community").limit(k)
+        about = t("mentions").join(member, "entity_id").select("community", F.col("memory_id").alias("id"), "entity_id")
+        stands = resolve.representative(about, t("memories").where(validity.live()), "community").join(t("memories").select("id", "content"), "id")
+        out = best.join(stands.select("community", "id", "content"), "community", "left").orderBy(F.col("score").desc(), "community").collect()
+        return [{"community": r.community, "size": r["size"], "score": r.score, "entities": [c["name"] for c in r.chief], "memory": r.content} for r in out]
+
     def stats(self) -> dict[str, int]:
         return {r.metric: r.n for r in maintenance.counts({n: self.store.table(n) for n in schema.TABLES}).collect()}
 

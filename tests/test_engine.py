@@ -66,3 +66,28 @@ def test_world_and_stream(spark, tmp_path):
     q = ingest.into(ingest.fresh(stream, "ts", "4000 days"), lambda df, n: seen.append(df.count()), str(tmp_path / "check"))
     q.awaitTermination(120)
     assert sum(seen) == facts.select("content").distinct().count()
+
+
+def test_overview_cli_and_server(spark, engine, tmp_path, capsys):
+    import io
+    import json
+
+    from palimpsest import cli, evals, server
+
+    top = engine.overview(3)
+    assert top and "Alice Smith" in top[0]["entities"] and top[0]["memory"]
+    assert cli.main(["--store", "x", "stats"], engine) == 0 and "memories" in capsys.readouterr().out
+    assert cli.main(["--store", "x", "--json", "follow", "Bob"], engine) == 0 and json.loads(capsys.readouterr().out)
+    assert cli.main(["--store", "x", "entity", "Nobody At All"], engine) == 2
+    lines = [{"jsonrpc": "2.0", "id": 1, "method": "initialize"}, {"jsonrpc": "2.0", "method": "note"}, {"jsonrpc": "2.0", "id": 2, "method": "tools/list"}, {"jsonrpc": "2.0", "id": 3, "method": "tools/call", "params": {"name": "stats"}}, {"jsonrpc": "2.0", "id": 4, "method": "tools/call", "params": {"name": "entity", "arguments": {"name": 1.5}}}, {"jsonrpc": "2.0", "id": 5, "method": "nope"}]
+    sink = io.StringIO()
+    server.serve(engine, io.StringIO("".join(json.dumps(x) + "\n" for x in lines) + "garbage\n"), sink)
+    out = [json.loads(x) for x in sink.getvalue().splitlines()]
+    assert [x.get("id") for x in out] == [1, 2, 3, 4, 5, None] and len(out[1]["result"]["tools"]) == 11 and not out[2]["result"]["isError"] and out[3]["result"]["isError"] and "error" in out[4]
+    fixture = {"now": "2026-10-21T15:00:00Z", "memories": [{"key": "a", "content": "Zoe likes green tea"}, {"key": "b", "content": "The server room is on floor nine", "supersedes": []}], "queries": [{"q": "which tea does Zoe like", "category": "c", "expect": ["a"], "answers": ["green"]}]}
+    now, memories, asked = evals.load(json.dumps(fixture))
+    fresh = Engine(spark, str(tmp_path / "eval"), clock=lambda: now)
+    ids = evals.ingest(fresh, memories)
+    report = evals.evaluate(fresh, asked, ids)
+    assert report["categories"]["all"] == {"n": 1, "recall": 1.0, "mrr": 1.0, "acc": 1.0}
+    assert fresh.recall("zzz qqq xxyyzz") == [] and evals.setting("rrf_k=7") == {"rrf_k": 7}
