@@ -334,6 +334,24 @@ def test_bits_make_a_distribution():
     assert each.sum() == pytest.approx(1) and each[ord("l")] > each[ord("z")]
 
 
+def test_adaptation_is_its_definition():
+    rng = np.random.default_rng(4)
+    sizes = np.array([0, 5, 1, 40, 0, 12])
+    tokens, p = rng.integers(0, 6, sizes.sum()).astype(np.int32), rng.uniform(0.01, 0.2, 6)
+    want, at = [], 0
+    for n in sizes:
+        seen, total = Counter(), 0.0
+        for i, t in enumerate(tokens[at : at + n].tolist()):
+            total += np.log10((lm_scoring.CACHE * p[t] + seen[t]) / (lm_scoring.CACHE + i))
+            seen[t] += 1
+        want.append(total)
+        at += n
+    for chunk in (1, 7, 1 << 19):
+        lm_scoring.CHUNK, old = chunk, lm_scoring.CHUNK
+        assert np.allclose(lm_scoring.adapted(p, tokens, sizes), want)
+        lm_scoring.CHUNK = old
+
+
 def test_lm_edges(edges, empty):
     rows = lm_scoring.scored(edges).collect()
     assert len(rows) == edges.count() and {r.doc_id: r.n_tokens for r in rows}[1] == 1 and lm_scoring.scored(empty).count() == 0
