@@ -65,11 +65,15 @@ class Coder:
 
     @classmethod
     def of(cls, path: str) -> "Coder":
-        C.hold("bpe", cls._made.clear)
         if path not in cls._made:
             cls._made[path] = cls(path)
+        C.hold("bpe", cls._made[path].drop)
         return cls._made[path]
 
+    def drop(self) -> None:
+        self.memo.drop()
+        self.spans.drop()
+
     def _runs(self, runs: list[str]) -> list[bytes]:
         return self.pieces(runs)
 

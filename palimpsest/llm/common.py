@@ -69,16 +69,19 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -> Iter
             yield batch.slice(a, b - a)
 
 
-_holder: list = ["", None]
+_holder: dict[str, Callable[[], None]] = {}
 
 
 def hold(name: str, drop: Callable[[], None]) -> None:
-    """Called where an operator fills caches of a worker process: workers outlive operators, so that the caches of the one before go first."""
-    if _holder[0] != name:
-        if _holder[1]:
-            _holder[1]()
-        _holder[:] = [name, drop]
-        trim()
+    """Called where an operator fills caches of a worker process; release() drops them."""
+    _holder[name] = drop
+
+
+def release() -> None:
+    """At the end of a task: its caches go, as an idle worker process would keep them beside those of busy ones."""
+    while _holder:
+        _holder.popitem()[1]()
+    trim()
 
 
 def trim() -> None:
@@ -102,7 +105,7 @@ def map_text(df: DataFrame, columns: list[str], schema: str, work: Callable[...,
             for batch in slices(whole, text, max_bytes):
                 got = work(*(batch.column(i).to_pylist() for i in range(batch.num_columns - 1)), batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(got, out, strict=True)], schema=out)
-        trim()
+        release()
 
     bounded(df.sparkSession)
     return df.select(*columns).mapInArrow(run, schema)

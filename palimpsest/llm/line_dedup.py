@@ -112,6 +112,7 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
                         gone.append(0)
                     texts.append(text)
                 yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(at)), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=[*others, "text", "n_lines", "n_dropped"])
+        C.trim()
 
     marked = marked.select(*others, "text", "__drop")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema if f.name != "__drop") + ", n_lines long, n_dropped long"

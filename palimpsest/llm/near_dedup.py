@@ -139,6 +139,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             ok = bloom.value.holds(C.mix64(whole.column(0).to_numpy().view(np.uint64)))
             for b in C.slices(whole.filter(pa.array(ok)), "text", 2 << 20):
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingles(b.column(1).cast(pa.binary()).to_pylist())], pa.binary())], names=["rep", "set"])
+        C.release()
 
     return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(work, "rep long, set binary").where(F.length("set") > 0)
 
@@ -159,6 +160,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFr
                 both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) * 100 >= percent * max(len(x), len(y)) else 0
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        C.trim()
 
     return both.mapInArrow(check, "a long, b long")
 

@@ -88,9 +88,9 @@ class Encoder:
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
-        C.hold("token files", cls._made.clear)
         if path not in cls._made:
             cls._made[path] = cls(path)
+        C.hold("token files", cls._made[path].memo.drop)
         return cls._made[path]
 
     def encode(self, pieces: list[str]) -> list[bytes]:

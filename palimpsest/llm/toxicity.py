@@ -111,6 +111,9 @@ class Model:
         self.root = vectors @ np.diag(np.maximum(values, 1e-6) ** -0.5) @ vectors.T if profiles else gram
         self.weights, self.bias, self.slope, self.offset = np.zeros(len(profiles)), 0.0, 0.0, -50.0
 
+    def drop(self) -> None:
+        self.table = None
+
     def kernels(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(word numbers, kernel values with each landmark), for words with any value of THRESHOLD or more."""
         if self.table is None:
@@ -157,7 +160,7 @@ class Model:
         return [max(map(value.__getitem__, hit), default=none) if (hit := t & value.keys()) else none for t in texts]
 
     def scores(self, texts: list[set[bytes]]) -> list[float]:
-        C.hold("toxicity", lambda: None)
+        C.hold("toxicity", self.drop)
         return [1 / (1 + math.exp(-min(50.0, max(-50.0, self.slope * v + self.offset)))) for v in self.values(texts)]
 
 
@@ -240,7 +243,6 @@ def train(toxic: list[bytes], clean: list[bytes]) -> Model:
         model.weights, model.bias = svm(x, y, weight)
         pick = [z[np.argmax(z @ model.root @ model.weights)] for z in each if len(z)]
     v = np.array(model.values(good + bad))
-    C.trim()
     t = np.concatenate([np.full(len(good), 1 / (len(good) + 2)), np.full(len(bad), (len(bad) + 1) / (len(bad) + 2))])
     a = np.column_stack([v, np.ones(len(v))])
     w = np.zeros(2)
@@ -290,7 +292,7 @@ def filtered(docs: DataFrame, labels: DataFrame, cutoff: float = CUTOFF) -> Data
             for b in C.slices(whole, "text"):
                 ok = [s < cutoff for s in shared.value.scores([units(t) for t in b.column(at).cast(pa.binary()).to_pylist()])]
                 yield b.filter(pa.array(ok, pa.bool_()))
-        C.trim()
+        C.release()
 
     return docs.mapInArrow(run, docs.schema)
 
