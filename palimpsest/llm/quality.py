@@ -111,12 +111,12 @@ class Rule:
 BASE_WORDS, BASE_REPEATS = 50, 50
 RULES = (
     Rule("symbols", 100, "n_symbols", 10, "n_words"),
-    Rule("repeated lines", 100, "n_dup_lines", 30, "n_lines"),
+    Rule("repeated lines", 100, "n_dup_lines", 60, "n_lines"),
     Rule("shouting", 100, "n_upper", 60, "n_lower"),
     Rule("exclamations", 100, "n_marks", 10, "n_words"),
     Rule("long words", 1, "word_chars", 12, "n_words"),
     Rule("short words", 2, "n_words", 1, "word_chars"),
-    Rule("repeated phrases", 100, "n_repeat_words", 40, "n_words"),
+    Rule("repeated phrases", 100, "n_repeat_words", 45, "n_words"),
 )
 
 
@@ -193,7 +193,7 @@ counts AS (
   FROM texts LEFT JOIN by_line USING (doc_id) LEFT JOIN repeats USING (doc_id)),
 based AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR 100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 30 * n_lines OR 100 * n_upper > 60 * n_lower OR 100 * n_marks > 10 * n_words
-    OR word_chars > 12 * n_words OR 2 * n_words > word_chars OR 100 * n_repeat_words > 40 * n_words) AS kept
+  NOT (base_failed OR 100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 60 * n_lines OR 100 * n_upper > 60 * n_lower OR 100 * n_marks > 10 * n_words
+    OR word_chars > 12 * n_words OR 2 * n_words > word_chars OR 100 * n_repeat_words > 45 * n_words) AS kept
 FROM based
 """
