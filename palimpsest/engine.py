@@ -88,7 +88,8 @@ class Engine:
             ledger.aliases.setdefault(r["alias_norm"], set()).add(r["entity_id"])
         ledger.predicates = {r["id"]: r for r in rows(t("predicates"))}
         known = list(ledger.entities)
-        near = t("relations").where(F.col("subj").isin(*known) | F.col("src").isin(*known) | F.col("dst").isin(*known)) if known else t("relations").limit(0)
+        # rivals share the subject, equal and denied triples both ends: what else a much-named entity takes part in stays in the store
+        near = t("relations").where(F.col("subj").isin(*known) | (F.col("src").isin(*known) & F.col("dst").isin(*known))) if known else t("relations").limit(0)
         replaced = sorted({i for p in good for i in p.supersedes})
         evidence = t("relation_evidence")
         for_old = evidence.where(F.col("memory_id").isin(*replaced)).select(F.col("relation_id").alias("id")) if replaced else evidence.limit(0).select(F.col("relation_id").alias("id"))

@@ -33,10 +33,10 @@ def gazetteer(docs: DataFrame, aliases: DataFrame, most: int = 4) -> DataFrame:
 def lexical_pairs(names: DataFrame, threshold: float = 0.93) -> DataFrame:
     """(a, b, score) of names that spell the same thing: near by Jaro-Winkler, of the same digits, of five letters or more.
 
-    Distinct names only; a block is a common first letter and digits (a name whose first letter differs has no prefix bonus and is left to other rules).
+    Distinct names only; a block is three common first letters, the digits, and a length that such a similarity allows.
     """
     digits = F.regexp_replace("name", r"\D", "")
-    distinct = names.select("name").distinct().where(F.length("name") >= 5).select("name", F.substring("name", 1, 1).alias("first"), digits.alias("digits"))
+    distinct = names.select("name").distinct().where(F.length("name") >= 5).select("name", F.substring("name", 1, 3).alias("first"), digits.alias("digits"))
     left, right = distinct.withColumnRenamed("name", "a"), distinct.withColumnRenamed("name", "b")
     # lengths so different that no such similarity is possible
     near = (F.least(F.length("a"), F.length("b")) * 10 >= F.greatest(F.length("a"), F.length("b")) * 6)

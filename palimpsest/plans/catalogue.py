@@ -400,7 +400,7 @@ def entity_alias_gazetteer(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH names AS (SELECT DISTINCT p_name AS name FROM part WHERE length(p_name) >= 5)
-SELECT a.name AS a, b.name AS b, round(jaro_winkler_similarity(a.name, b.name), 5) AS score FROM names a JOIN names b ON a.name < b.name AND a.name[1] = b.name[1]
+SELECT a.name AS a, b.name AS b, round(jaro_winkler_similarity(a.name, b.name), 5) AS score FROM names a JOIN names b ON a.name < b.name AND a.name[1:3] = b.name[1:3]
 WHERE regexp_replace(a.name, '[^0-9]', '', 'g') = regexp_replace(b.name, '[^0-9]', '', 'g') AND jaro_winkler_similarity(a.name, b.name) >= 0.88""")
 def entity_lexical_match(spark: SparkSession, d: str) -> DataFrame:
     """Part names that nearly spell the same."""
