@@ -125,7 +125,7 @@ def neighbours(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     spark = rows.sparkSession
     schema = "query_id long, vec_id long, score double"
     base = usable(rows)
-    sample = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()  # SAMPLE rows at most
+    sample = C.sample(base, "vec_id", SAMPLE).orderBy("vec_id", "x").limit(SAMPLE).collect()  # SAMPLE rows at most
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     d = Counter(len(r.x) for r in sample).most_common(1)[0][0]

@@ -282,6 +282,12 @@ def _put(bitmap: np.ndarray, at: np.ndarray) -> None:
     np.bitwise_or.at(bitmap, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
 
 
+def sample(df: DataFrame, key: str, n: int) -> DataFrame:
+    """The rows with the n smallest hashes of key (and rows that repeat such a key): ids are chosen first, so that only they travel from every partition."""
+    ids = df.select(key).where(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(n).distinct()
+    return df.join(F.broadcast(ids), key, "left_semi")  # n ids
+
+
 #: What a batch of Arrow rows on its way to Python takes at most, so that workers stay small on small executors.
 BATCH_BYTES = 8 << 20
 

@@ -18,7 +18,6 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import common as C
 
@@ -137,7 +136,7 @@ def lazily(text: bytes, known: dict[str, int]) -> Callable[[str], int]:
 
 def ordered(docs: DataFrame, rules: Sequence[Rule] = RULES, free: Sequence[str] = ()) -> list[Rule]:
     """rules by falling rejection per cost on a sample of docs; the counts named in free cost nothing."""
-    rows = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect()  # SAMPLE rows at most
+    rows = C.sample(docs.select("doc_id", "text"), "doc_id", SAMPLE).limit(2 * SAMPLE).collect()  # SAMPLE documents
     texts = [(r.text or "").encode() for r in rows]
     split = [t.split() for t in texts]
     cost, value = {}, {}
