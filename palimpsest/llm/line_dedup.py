@@ -91,7 +91,7 @@ def drops(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
 def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, filter_bits: int = FILTER_BITS) -> DataFrame:
     """docs with text after the drops, n_lines (before) and n_dropped. Rows that lose nothing are unchanged."""
     others = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    lost_keys = drops(docs.select("doc_id", "text"), min_chars, min_docs, filter_bits).select(F.col("doc_id").alias("__id"), F.col("drop").alias("__drop"))
+    lost_keys = drops(docs.select("doc_id", "text"), min_chars, min_docs, filter_bits).select(F.col("doc_id").alias("__id"), F.col("drop").alias("__drop")).hint("shuffle_hash")  # the narrow side is hashed, so that texts shuffle but are not sorted
     marked = docs.select(*others, "text").join(lost_keys, F.col("doc_id") == F.col("__id"), "left")
     at, lost = len(others), len(others) + 1
 

@@ -147,8 +147,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Of pairs (a, b), those whose full sets are near enough."""
     salt = F.pmod(F.xxhash64("b"), F.lit(BUCKETS)).alias("salt")
-    pairs = pairs.select("a", "b", salt)
-    left = pairs.select("a", "salt").distinct().join(sets.select(F.col("rep").alias("a"), F.col("set").alias("x")), "a")
+    pairs = pairs.select("a", "b", salt).hint("shuffle_hash")
+    left = pairs.select("a", "salt").distinct().hint("shuffle_hash").join(sets.select(F.col("rep").alias("a"), F.col("set").alias("x")), "a")
     right = pairs.join(sets.select(F.col("rep").alias("b"), F.col("set").alias("y")), "b")
     both = right.join(left, ["a", "salt"]).select("a", "b", "x", "y")
 
@@ -302,7 +302,7 @@ def components(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs that stand for their group, unchanged."""
     found = components(docs)
-    lost = found.where(~F.col("kept")).select("doc_id").distinct()
+    lost = found.where(~F.col("kept")).select("doc_id").distinct().hint("shuffle_hash")  # texts shuffle but are not sorted
     return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
 
 
