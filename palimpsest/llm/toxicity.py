@@ -166,24 +166,29 @@ class Model:
 
 def landmarks_of(toxic: list[set[bytes]], clean: list[set[bytes]]) -> list[bytes]:
     """Strings that cover the most toxic texts that no earlier one covers, and few clean ones; then frequent clean words."""
-    grams = lambda t: {w[k : k + n] for w in t for n in GRAMS for k in range(len(w) - n + 1)}
     owners: dict[bytes, list[int]] = {}
-    least = max(2, len(toxic) // 300)
-    seen = Counter(g for t in toxic for g in {w[k : k + 4] for w in t for k in range(len(w) - 3)})
-    frequent = {g for g, n in seen.items() if n >= least}
+    least = max(2, len(toxic) // 200)
+    # a string is in enough texts only if its start is: longer ones are looked for from the frequent shorter ones
+    frequent: set[bytes] = set()
+    before: set[bytes] = set()
+    for n in GRAMS:
+        seen: Counter = Counter()
+        for t in toxic:
+            seen.update({g for w in t for k in range(len(w) - n + 1) if (g := w[k : k + n])[:-1] in before or n == GRAMS[0]})
+        before = {g for g, c in seen.items() if c >= least}
+        frequent |= before
     for i, t in enumerate(toxic):
-        for g in grams({w for w in t if any(w[k : k + 4] in frequent for k in range(len(w) - 3))}):
-            if g[:4] in frequent:
-                owners.setdefault(g, []).append(i)
-    owners = {g: x for g, x in owners.items() if len(x) >= least}
+        for g in {g for w in t for n in GRAMS for k in range(len(w) - n + 1) if (g := w[k : k + n]) in frequent}:
+            owners.setdefault(g, []).append(i)
     in_clean: Counter = Counter()
     for t in clean:
-        in_clean.update({g for w in t if any(w[k : k + 4] in frequent for k in range(len(w) - 3)) for n in GRAMS for k in range(len(w) - n + 1) if (g := w[k : k + n]) in owners})
+        in_clean.update({g for w in t for n in GRAMS for k in range(len(w) - n + 1) if (g := w[k : k + n]) in owners})
     rate = lambda g, n: n / len(toxic) - 10 * in_clean[g] / max(1, len(clean))
     pool = {g: set(x) for g, x in owners.items() if rate(g, len(x)) > 0}
     # a gram whose extension covers the same texts says less than the extension
     chosen: list[bytes] = []
     covered: Counter = Counter()
+    rest = [set(t) for t in toxic]
     while pool and len(chosen) < LANDMARKS - CLEAN_LANDMARKS:
         best = max(pool, key=lambda g: (rate(g, len(pool[g])), len(g), g))
         got = pool.pop(best)
@@ -192,6 +197,14 @@ def landmarks_of(toxic: list[set[bytes]], clean: list[set[bytes]]) -> list[bytes
         chosen.append(best)
         covered.update(got)
         full = {i for i in got if covered[i] >= COVER}
+        # words that hold the new landmark are explained: what else they hold is not counted for them again
+        for i in got:
+            gone = {w for w in rest[i] if best in w}
+            rest[i] -= gone
+            left_over = b" ".join(rest[i])
+            for g in {w[k : k + n] for w in gone for n in GRAMS for k in range(len(w) - n + 1)} & pool.keys():
+                if g not in left_over:
+                    pool[g].discard(i)
         parts = {best[k : k + 3] for k in range(len(best) - 2)}
         pool = {g: left for g, x in pool.items() if not any(g[k : k + 3] in parts for k in range(len(g) - 2)) and len(left := x - full if full else x) >= least}
     usual = Counter(w for t in clean for w in t if len(w) >= 5)
