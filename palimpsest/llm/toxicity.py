@@ -6,9 +6,11 @@ characters keep most of their subsequences. A sentence is the set of its words (
 space, lower-cased A-Z; successive one-character words also count as one word, so that spelled-out
 insults are seen; a word over WIDTH bytes is cut into overlapping windows).
 
-Landmarks: the strings that cover most toxic training texts and hardly any clean one, greedily, and
-words of clean ones. Features of a word: its kernel values with the landmarks, over the landmark's own
-value (1 at most), times the inverse square root of the landmarks' kernel matrix.
+Landmarks: the strings that cover most toxic training texts and hardly any clean one, greedily: those
+in SHARE of the toxic texts that share no three bytes with an earlier one, and all that chance hardly
+explains (CHANCE, over all candidates; near copies count once); and words of clean ones. Features of a
+word: its kernel values with the landmarks, over the landmark's own value (1 at most), times the inverse
+square root of the landmarks' kernel matrix.
 
 Training: labels are of documents, so a toxic label says that at least one sentence of it is toxic.
 Positive examples are each toxic text's highest-scoring word, chosen anew in each of ROUNDS rounds;
@@ -29,8 +31,10 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterable
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -46,8 +50,8 @@ GRAMS = range(4, 10)
 MOST_TOXIC, MOST_CLEAN = 1000, 2000
 #: A training text counts for landmarks until it holds so many.
 COVER = 3
-#: A landmark covers so large a share of the toxic training texts at least.
-SHARE = 0.03
+#: A landmark covers so large a share of the toxic training texts, or is so unlikely to be found by chance among all candidates.
+SHARE, CHANCE = 0.03, 0.01
 ROUNDS = 3
 THRESHOLD = 0.4
 CUTOFF = 0.7
@@ -164,8 +168,26 @@ class Model:
         return [1 / (1 + math.exp(-min(50.0, max(-50.0, self.slope * v + self.offset)))) for v in self.values(texts)]
 
 
+@cache
+def chance(n: int, c: int, share: float) -> float:
+    """How likely a string of n + c texts is in n or more toxic ones, if a share of all texts is toxic and the string says nothing."""
+    return sum(math.comb(n + c, k) * share**k * (1 - share) ** (n + c - k) for k in range(n, n + c + 1))
+
+
+def apart(texts: list[set[bytes]]) -> list[set[bytes]]:
+    """One of each group of near copies (half of 16 smallest hashes alike): a copy is no further evidence."""
+    seeds = C.mix64(np.arange(1, 17, dtype=np.uint64))
+    marks = [C.mix64(np.array([zlib.crc32(w) for w in t] or [0], np.uint64)[:, None] ^ seeds).min(axis=0) for t in texts]
+    kept: list[int] = []
+    for i, m in enumerate(marks):
+        if not kept or (np.array([marks[k] for k in kept]) == m).sum(axis=1).max() < 8:
+            kept.append(i)
+    return [texts[k] for k in kept]
+
+
 def landmarks_of(toxic: list[set[bytes]], clean: list[set[bytes]]) -> list[bytes]:
     """Strings that cover the most toxic texts that no earlier one covers, and few clean ones; then frequent clean words."""
+    toxic = apart(toxic)
     owners: dict[bytes, list[int]] = {}
     least = max(2, len(toxic) // 200)
     # a string is in enough texts only if its start is: longer ones are looked for from the frequent shorter ones
@@ -184,17 +206,22 @@ def landmarks_of(toxic: list[set[bytes]], clean: list[set[bytes]]) -> list[bytes
     for t in clean:
         in_clean.update({g for w in t for n in GRAMS for k in range(len(w) - n + 1) if (g := w[k : k + n]) in owners})
     rate = lambda g, n: n / len(toxic) - 10 * in_clean[g] / max(1, len(clean))
-    pool = {g: set(x) for g, x in owners.items() if rate(g, len(x)) > 0}
-    # a gram whose extension covers the same texts says less than the extension
+    share = len(toxic) / max(1, len(toxic) + len(clean))
+    parts: set[bytes] = set()
+    akin = lambda g: any(g[k : k + 3] in parts for k in range(len(g) - 2))
+    sure = lambda g, n: (r := rate(g, n)) > 0 and (chance(n, in_clean[g], share) * len(owners) < CHANCE or (r >= SHARE or not chosen) and not akin(g))
     chosen: list[bytes] = []
+    pool = {g: set(x) for g, x in owners.items() if sure(g, len(x))}
+    # a gram whose extension covers the same texts says less than the extension
     covered: Counter = Counter()
     rest = [set(t) for t in toxic]
     while pool and len(chosen) < LANDMARKS - CLEAN_LANDMARKS:
         best = max(pool, key=lambda g: (rate(g, len(pool[g])), len(g), g))
         got = pool.pop(best)
-        if rate(best, len(got)) < (SHARE if covered else 0):
-            break
+        if not sure(best, len(got)):
+            continue
         chosen.append(best)
+        parts.update(best[k : k + 3] for k in range(len(best) - 2))
         covered.update(got)
         full = {i for i in got if covered[i] >= COVER}
         # words that hold the new landmark are explained: what else they hold is not counted for them again
@@ -205,8 +232,7 @@ def landmarks_of(toxic: list[set[bytes]], clean: list[set[bytes]]) -> list[bytes
             for g in {w[k : k + n] for w in gone for n in GRAMS for k in range(len(w) - n + 1)} & pool.keys():
                 if g not in left_over:
                     pool[g].discard(i)
-        parts = {best[k : k + 3] for k in range(len(best) - 2)}
-        pool = {g: left for g, x in pool.items() if not any(g[k : k + 3] in parts for k in range(len(g) - 2)) and len(left := x - full if full else x) >= least}
+        pool = {g: left for g, x in pool.items() if len(left := x - full if full else x) >= least}
     usual = Counter(w for t in clean for w in t if len(w) >= 5)
     return chosen + [w[:WIDTH] for w, _ in sorted(usual.items(), key=lambda x: (-x[1], x[0]))[:CLEAN_LANDMARKS]]
 

@@ -275,6 +275,17 @@ def test_toxicity_learns_and_tolerates_gaps():
     assert min(score("you i d i o t", "an idi.ot", "bufffoon")) > 0.3 and max(score("", "nothing here")) < 0.3
 
 
+def test_toxicity_learns_many_rare_insults():
+    rng = random.Random(5)
+    made = lambda n, a, b: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(a, b))) for _ in range(n)]
+    insults, usual = made(40, 5, 9), made(3000, 3, 9)
+    text = lambda *more: " ".join([*rng.choices(usual, [1 / (k + 5) for k in range(3000)], k=30), *more]).encode()
+    model = toxicity.train([text(insults[k % 40]) for k in range(1000)], [text() for _ in range(2000)])
+    score = lambda ts: np.array(model.scores([toxicity.units(t) for t in ts]))
+    assert (score([text(x) for x in insults]) > 0.7).mean() > 0.9 and (score([text() for _ in range(500)]) > 0.7).mean() < 0.02
+    assert len(toxicity.apart([toxicity.units(text())] * 5 + [toxicity.units(text())])) == 2
+
+
 def test_kernel_is_its_definition():
     def k(x, y):
         f = [Counter() for _ in "xy"]
