@@ -4,7 +4,8 @@ Kernel: k(x, y) = sum over u of f_u(x) f_u(y), where u runs over three-byte subs
 SPAN bytes, and f_u(x) sums DECAY ** (span - 3) over u's places in x. Insults with gaps or inserted
 characters keep most of their subsequences. A sentence is the set of its words (runs between white
 space, lower-cased A-Z; successive one-character words also count as one word, so that spelled-out
-insults are seen; a word over WIDTH bytes is cut into overlapping windows).
+insults are seen; a word with ASCII marks inside also counts without them; a word over WIDTH bytes is
+cut into overlapping windows).
 
 Landmarks: the strings that cover most toxic training texts and hardly any clean one, greedily: those
 in SHARE of the toxic texts that share no three bytes with an earlier one, and all that chance hardly
@@ -55,17 +56,19 @@ SHARE, CHANCE = 0.03, 0.01
 ROUNDS = 3
 THRESHOLD = 0.4
 CUTOFF = 0.7
+_MARKS = bytes(c for c in range(128) if not chr(c).isalnum())
 _SPELLED = re.compile(rb"(?<![^\x20\x09-\x0d])(?:[\x21-\x7e][\x20\x09]+){2,}[\x21-\x7e](?![^\x20\x09-\x0d])")
 
 
 def units(text: bytes | None) -> set[bytes]:
-    """The distinct words of a text, spelled-out words joined, long ones in windows."""
+    """The distinct words of a text, spelled-out words joined, those with marks inside also without them, long ones in windows."""
     if not text:
         return set()
     text = text.lower()
     found = set(text.split())
     for m in _SPELLED.finditer(text):
         found.add(b"".join(m[0].split()))
+    found.update([bare for w in found if (bare := w.translate(None, _MARKS)) not in w])
     long = [w for w in found if len(w) > WIDTH]
     if long:
         found.difference_update(long)

@@ -275,6 +275,16 @@ def test_toxicity_learns_and_tolerates_gaps():
     assert min(score("you i d i o t", "an idi.ot", "bufffoon")) > 0.3 and max(score("", "nothing here")) < 0.3
 
 
+def test_toxicity_sees_through_marks():
+    rng = random.Random(8)
+    text = lambda *more: " ".join([*(rng.choice(["lorem", "ipsum", "dolor", "amet"]) + str(rng.randrange(40)) for _ in range(40)), *more]).encode()
+    insults = ["idiot", "moron", "pathetic"]
+    model = toxicity.train([text(insults[k % 3]) for k in range(60)], [text() for _ in range(90)])
+    score = lambda *ts: model.scores([toxicity.units(t.encode()) for t in ts])
+    assert min(score(*insults, "i.d.i.o.t", "m.o.r.o.n", "p.a.t.h.e.t.i.c", "id--iot", "mo--ron", "i . d . i . o . t")) > toxicity.CUTOFF
+    assert max(score("lo-rem1", "d.o.l.o.r.2", "nothing here")) < 0.3
+
+
 def test_toxicity_learns_many_rare_insults():
     rng = random.Random(5)
     made = lambda n, a, b: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(a, b))) for _ in range(n)]
