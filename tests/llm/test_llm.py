@@ -229,6 +229,16 @@ def test_mixing_meets_targets(spark):
     assert abs(tokens["c"] / sum(tokens.values()) - 0.2) < 0.05
 
 
+def test_mixing_meets_targets_of_skewed_sources(spark):
+    sizes = {"a": 190, "b": 6, "c": 3, "d": 1}
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate(x for x, m in sizes.items() for _ in range(m))], "doc_id long, text string").select("doc_id", F.expr("repeat(concat(text, ' '), 20)").alias("text"))
+    classifier = mixing.Classifier([b"a " * 20, b"b " * 20, b"c " * 20, b"d " * 20], list("abcd"))
+    for low, total in ((0.0, None), (1.0, "grow")):
+        rows = mixing.rated(docs, classifier, {"a": 0.4, "b": 0.2, "c": 0.2, "d": 0.2}, low=low, total=total).collect()
+        sums = np.sum([np.array(r.posterior) * r.rate * r.n_tokens for r in rows], axis=0)
+        assert np.abs(sums / sums.sum() - [0.4, 0.2, 0.2, 0.2]).max() < 0.005 and min(r.rate for r in rows) >= low
+
+
 def test_mixing_edges(spark, edges, empty):
     labels = spark.createDataFrame([(1,), (None,)], "doc_id long")
     for docs in (edges, empty):
