@@ -1,31 +1,31 @@
 """Operator 5: toxicity by a subsequence string kernel, Nyström landmarks and a support vector machine.
 
-Kernel: k(x, y) = sum over u of f_u(x) f_u(y), where u runs over three-byte subsequences that span at most
-SPAN bytes, and f_u(x) sums DECAY ** (span - 3) over u's places in x. Insults with gaps or inserted
-characters keep most of their subsequences. A sentence is the set of its words (runs between white
-space, lower-cased A-Z; successive one-character words also count as one word, so that spelled-out
-insults are seen; a word with ASCII marks inside also counts without them; a word over WIDTH bytes is
-cut into overlapping windows).
-
-Landmarks: the strings that cover most toxic training texts and hardly any clean one, greedily: those
-in SHARE of the toxic texts that share no three bytes with an earlier one, and all that chance hardly
-explains (CHANCE, over all candidates; near copies count once); and words of clean ones. Features of a
-word: its kernel values with the landmarks, over the landmark's own value (1 at most), times the inverse
-square root of the landmarks' kernel matrix.
-
-Training: labels are of documents, so a toxic label says that at least one sentence of it is toxic.
-Positive examples are each toxic text's highest-scoring word, chosen anew in each of ROUNDS rounds;
-negative ones are the words of clean texts that share anything with a landmark; landmarks with a character put in at
-each place are positive too. A text's decision
-value is the largest of its words'; a logistic curve fitted on the training texts turns it into a
-score. Only rows of `labels` whose document is not held out are read, MOST_TOXIC and MOST_CLEAN
-documents at most (the smallest hashes of doc_id); identical texts count once.
-
-Every whole text is scored. A word that shares less than THRESHOLD of any landmark has the value of a
-word that shares nothing.
-
-Edge cases: null and empty texts have the score of a text without any trace. Without labels of both kinds
-every score is 0. Null doc_id: not held out, scored. Repeated rows: scored alike.
+Word kernel: k(x, y) = sum over u of f_u(x) f_u(y), where u runs over three-byte subsequences that span at most
+SPAN bytes, and f_u(x) sums DECAY ** (span - 3) over u's places in x; c(x, y) = k(x, y) / sqrt(k(x, x) k(y, y)),
+and c ** POWER is the kernel of two words. Insults with gaps or inserted characters keep most of their
+subsequences. A word is a run between white space, lower-cased A-Z, without ASCII marks, with a byte before it
+that marks its start; successive one-character words also count as one word, so that spelled-out insults are seen; a
+word over WIDTH bytes is cut into overlapping windows. A text is the set of its distinct words. The kernel of
+two texts is the sum over all pairs of their words, plus a constant a pair: a text counts how many
+words are like an insult, and against how many words.
+
+Landmarks: the strings that tell most about which training texts are toxic (log-likelihood ratio over words), one
+after the other, words that hold an earlier one being explained; a string counts only if chance hardly explains in
+which texts it stands (CHANCE, over all candidates; near copies count once). Then the WHOLE most frequent words of
+toxic and of clean texts that hold it, and frequent clean words. Features of a word are its kernel values with the landmarks
+times the inverse square root of the landmarks' kernel matrix (Nyström); those of a text are the sum over its words and their
+number, all over 1 + words / HALF, so that long texts are judged by rates and short ones by counts.
+
+Training: labels are of documents. Positive examples are the toxic texts; the same with a character put into
+each word that holds a landmark; and landmarks that no clean text has, alone, whole and torn. Negative ones are the clean texts,
+an empty one and frequent clean words alone. A squared-hinge machine is fitted, then a logistic curve turns its value
+into a score. Only rows of `labels` whose document is not held out are read, MOST_TOXIC and MOST_CLEAN documents at
+most (the smallest hashes of doc_id; of rows that repeat a doc_id, one); identical texts count once.
+
+Every whole text is scored. A word's part in the decision is one number, so that frequent words are looked up.
+
+Edge cases: null and empty texts have no words. Without labels of both kinds every score is 0. Null doc_id: not
+held out, scored. Repeated rows: scored alike. An empty table gives no rows. filtered() keeps all columns.
 """
 
 from __future__ import annotations
@@ -43,32 +43,35 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-SPAN, DECAY = 5, 0.6
+SPAN, DECAY, POWER = 6, 0.7, 4
 PATTERNS = [(a, b, DECAY ** (b - 2)) for b in range(2, SPAN) for a in range(1, b)]
-WIDTH, OVERLAP = 32, 8
-LANDMARKS, CLEAN_LANDMARKS = 64, 16
-GRAMS = range(4, 10)
-MOST_TOXIC, MOST_CLEAN = 1000, 2000
+WIDTH, OVERLAP = 32, 16
+LANDMARKS, CLEAN_LANDMARKS, WHOLE = 64, 16, 3
+GRAMS = range(4, 11)
+MOST_TOXIC, MOST_CLEAN = 1000, 3000
 #: A training text counts for landmarks until it holds so many.
-COVER = 3
-#: A landmark covers so large a share of the toxic training texts, or is so unlikely to be found by chance among all candidates.
-SHARE, CHANCE = 0.03, 0.01
-ROUNDS = 3
-THRESHOLD = 0.4
+COVER = 8
+#: A landmark is so unlikely to be found by chance among all candidates.
+CHANCE = 0.01
+HALF = 100
+#: What clean texts, clean words alone, toxic texts, those with torn insults, and torn insults alone weigh in training.
+SHARES = (3.0, 1.0, 0.5, 0.3, 0.2)
+#: Before each word, so that its start takes part in subsequences.
+START = b"\x02"
 CUTOFF = 0.7
-_MARKS = bytes(c for c in range(128) if not chr(c).isalnum())
+_MARKS = bytes(c for c in range(128) if not chr(c).isalnum() and chr(c) not in " \t\n\v\f\r")
 _SPELLED = re.compile(rb"(?<![^\x20\x09-\x0d])(?:[\x21-\x7e][\x20\x09]+){2,}[\x21-\x7e](?![^\x20\x09-\x0d])")
 
 
 def units(text: bytes | None) -> set[bytes]:
-    """The distinct words of a text, spelled-out words joined, those with marks inside also without them, long ones in windows."""
+    """The distinct words of a text without marks, spelled-out words also joined, long ones in windows."""
     if not text:
         return set()
-    text = text.lower()
+    text = text.lower().translate(None, _MARKS)
     found = set(text.split())
     for m in _SPELLED.finditer(text):
         found.add(b"".join(m[0].split()))
-    found.update([bare for w in found if (bare := w.translate(None, _MARKS)) not in w])
+    found = {START + w for w in found}
     long = [w for w in found if len(w) > WIDTH]
     if long:
         found.difference_update(long)
@@ -88,93 +91,114 @@ def triples(words: list[bytes]) -> Iterable[tuple[np.ndarray, np.ndarray, float]
             yield k, codes[k, at], weight
 
 
-def profile(word: bytes) -> dict[int, float]:
-    out: Counter = Counter()
-    for _, codes, weight in triples([word[:WIDTH]]):
-        for c in codes.tolist():
-            out[c] += weight
-    return out
+def profiles(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word number, subsequence code, f) of all words, each pair once, in order."""
+    got = list(triples(words))
+    if not got:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    key = np.concatenate([k.astype(np.int64) << 24 | codes for k, codes, _ in got])
+    weight = np.concatenate([np.full(len(k), w) for k, _, w in got])
+    by = np.argsort(key)
+    key, weight = key[by], weight[by]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    key, f = key[first], np.add.reduceat(weight, first)
+    return key >> 24, key & 0xFFFFFF, f
 
 
 class Model:
     """Landmarks and the decision function; words and texts are scored in numpy."""
 
-    def __init__(self, landmarks: list[bytes]):
-        profiles = [profile(x) for x in landmarks]
-        keep = [k for k, p in enumerate(profiles) if p]
-        self.landmarks, profiles = [landmarks[k] for k in keep], [profiles[k] for k in keep]
-        codes = sorted({c for p in profiles for c in p})
-        row = {c: k for k, c in enumerate(codes)}
-        self.codes = np.array(codes, np.uint32)
+    def __init__(self, landmarks: list[bytes], toxic: int = 0):
+        k, codes, f = profiles(landmarks)
+        keep = np.unique(k)
+        self.landmarks, self.toxic = [landmarks[i] for i in keep], int(np.searchsorted(keep, toxic))
+        self.codes, row = np.unique(codes, return_inverse=True)
+        #: Subsequence x landmark, each landmark of length 1; row 0 is every other subsequence.
+        self.rows = np.zeros((len(self.codes) + 1, len(keep)), np.float32)
+        self.rows[row + 1, np.searchsorted(keep, k)] = f / np.sqrt(np.bincount(k, f * f, len(landmarks)))[k]
+        gram = (self.rows.T @ self.rows).astype(float) ** POWER
+        values, vectors = np.linalg.eigh(gram + 1e-3 * np.eye(len(keep)))
+        self.root = vectors @ np.diag(np.maximum(values, 1e-6) ** -0.5) @ vectors.T
+        self.weights, self.per_word, self.bias, self.slope, self.offset = np.zeros(len(keep)), 0.0, 0.0, 0.0, -50.0
         self.table = None
-        own = np.array([sum(v * v for v in p.values()) for p in profiles])
-        self.rows = np.zeros((len(codes) + 1, len(profiles)))
-        for j, p in enumerate(profiles):
-            for c, v in p.items():
-                self.rows[row[c] + 1, j] = v / own[j]
-        gram = np.array([[sum(v * q.get(c, 0) for c, v in p.items()) for q in profiles] for p in profiles]) if profiles else np.zeros((0, 0))
-        scale = np.sqrt(np.outer(own, own)) if profiles else gram
-        values, vectors = np.linalg.eigh(gram / scale + 1e-3 * np.eye(len(profiles))) if profiles else (np.zeros(0), gram)
-        self.root = vectors @ np.diag(np.maximum(values, 1e-6) ** -0.5) @ vectors.T if profiles else gram
-        self.weights, self.bias, self.slope, self.offset = np.zeros(len(profiles)), 0.0, 0.0, -50.0
+        self.memo = C.Memo(self.parts)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("table", "memo")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.table, self.memo = None, C.Memo(self.parts)
 
     def drop(self) -> None:
         self.table = None
+        self.memo.drop()
 
-    def kernels(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(word numbers, kernel values with each landmark), for words with any value of THRESHOLD or more."""
+    def kernels(self, words: list[bytes]) -> np.ndarray:
+        """Kernel values of each word with each landmark."""
         if self.table is None:
             self.table = np.zeros(1 << 24, np.int16)
             self.table[self.codes] = np.arange(1, len(self.codes) + 1)
-        lengths = np.array(list(map(len, words)))
-        order = np.argsort(lengths, kind="stable")
-        found, out = [], []
-        for lo in range(0, len(order), 20_000):
-            part = order[lo : lo + 20_000]
-            ks, rs, ws = [], [], []
-            for k, codes, weight in triples([words[i] for i in part]):
-                r = self.table[codes]
-                at = np.flatnonzero(r)
-                ks.append(k[at])
-                rs.append(r[at])
-                ws.append(np.full(len(at), weight))
-            if not ks:
-                continue
-            k, r, w = np.concatenate(ks), np.concatenate(rs), np.concatenate(ws)
-            # a word whose best possible value is too low is left out at once
-            best = np.bincount(k, self.rows.max(axis=1)[r] * w, len(part))
-            ok = best[k] >= THRESHOLD
-            k, r, w = k[ok], r[ok], w[ok]
-            if not len(k):
+        out = np.zeros((len(words), len(self.landmarks)), np.float32)
+        by_length = np.argsort(np.array(list(map(len, words)), np.int64), kind="stable")
+        for lo in range(0, len(words), 10_000):
+            part = by_length[lo : lo + 10_000]
+            k, codes, f = profiles([words[i] for i in part])
+            norm = np.bincount(k, f * f, len(part))
+            r = self.table[codes]
+            at = np.flatnonzero(r)
+            if not len(at):
                 continue
-            by = np.argsort(k, kind="stable")
-            k, r, w = k[by], r[by], w[by]
+            k, w, r = k[at], f[at].astype(np.float32), r[at]
             starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            z = np.minimum(np.add.reduceat(self.rows[r] * w[:, None], starts, axis=0), 1.0)
-            z[z < THRESHOLD] = 0
-            some = z.any(axis=1)
-            found.append(part[k[starts]][some])
-            out.append(z[some])
-        return (np.concatenate(found), np.concatenate(out)) if found else (np.zeros(0, np.int64), np.zeros((0, len(self.landmarks))))
+            some = k[starts]
+            out[part[some]] = (np.add.reduceat(self.rows[r] * w[:, None], starts, axis=0) / np.sqrt(norm[some])[:, None]) ** POWER
+        return out
+
+    def parts(self, words: list[bytes]) -> list[float]:
+        """What each word adds to a text's value."""
+        if not words or not len(self.landmarks):
+            return [0.0] * len(words)
+        return (self.kernels(words) @ (self.root @ self.weights) + self.per_word).tolist()
 
     def values(self, texts: list[set[bytes]]) -> list[float]:
         """The decision value of each text."""
-        words = list(set().union(*texts)) if texts else []
-        k, z = self.kernels(words) if len(self.landmarks) else ([], np.zeros((0, 0)))
-        f = z @ self.root @ self.weights + self.bias if len(k) else []
-        value = {words[i]: v for i, v in zip(k, f, strict=True)}
-        none = self.bias
-        return [max(map(value.__getitem__, hit), default=none) if (hit := t & value.keys()) else none for t in texts]
+        memo = self.memo.fill(w for t in texts for w in t)
+        return [(math.fsum(map(memo.__getitem__, t)) + self.bias) / (1 + len(t) / HALF) for t in texts]
 
     def scores(self, texts: list[set[bytes]]) -> list[float]:
         C.hold("toxicity", self.drop)
         return [1 / (1 + math.exp(-min(50.0, max(-50.0, self.slope * v + self.offset)))) for v in self.values(texts)]
 
+    def features(self, texts: list[set[bytes]]) -> np.ndarray:
+        """Landmark features, words and 1, of each text, over 1 + words / HALF."""
+        words = list(set().union(*texts)) if texts else []
+        number = {w: k for k, w in enumerate(words)}
+        z = self.kernels(words)
+        out = np.zeros((len(texts), len(self.landmarks) + 2))
+        for i, t in enumerate(texts):
+            out[i, :-2] = z[[number[w] for w in t]].sum(axis=0, dtype=float) @ self.root if t else 0
+            out[i, -2:] = len(t) / HALF, 1
+            out[i] /= 1 + len(t) / HALF
+        return out
+
 
 @cache
 def chance(n: int, c: int, share: float) -> float:
     """How likely a string of n + c texts is in n or more toxic ones, if a share of all texts is toxic and the string says nothing."""
-    return sum(math.comb(n + c, k) * share**k * (1 - share) ** (n + c - k) for k in range(n, n + c + 1))
+    if n > 200:
+        z = (n - (n + c) * share) / math.sqrt((n + c) * share * (1 - share))
+        return math.erfc(z / math.sqrt(2)) / 2
+    return sum(math.exp(math.lgamma(n + c + 1) - math.lgamma(k + 1) - math.lgamma(n + c - k + 1) + k * math.log(share) + (n + c - k) * math.log1p(-share)) for k in range(n, n + c + 1))
+
+
+def telling(n: int, toxic: int, c: int, clean: int) -> float:
+    """Log-likelihood ratio of n of the toxic and c of the clean texts holding a string; 0 where that speaks for clean."""
+    if n * clean <= c * toxic:
+        return 0.0
+    h = lambda x, of: x * math.log(x / of) if x else 0.0
+    both, of = n + c, toxic + clean
+    return h(n, toxic) + h(toxic - n, toxic) + h(c, clean) + h(clean - c, clean) - h(both, of) - h(of - both, of)
 
 
 def apart(texts: list[set[bytes]]) -> list[set[bytes]]:
@@ -188,8 +212,8 @@ def apart(texts: list[set[bytes]]) -> list[set[bytes]]:
     return [texts[k] for k in kept]
 
 
-def landmarks_of(toxic: list[set[bytes]], clean: list[set[bytes]]) -> list[bytes]:
-    """Strings that cover the most toxic texts that no earlier one covers, and few clean ones; then frequent clean words."""
+def landmarks_of(toxic: list[set[bytes]], clean: list[set[bytes]]) -> tuple[list[bytes], int, list[bytes]]:
+    """(landmarks, how many of them speak for toxic, those that no clean text holds)."""
     toxic = apart(toxic)
     owners: dict[bytes, list[int]] = {}
     least = max(2, len(toxic) // 200)
@@ -205,26 +229,27 @@ def landmarks_of(toxic: list[set[bytes]], clean: list[set[bytes]]) -> list[bytes
     for i, t in enumerate(toxic):
         for g in {g for w in t for n in GRAMS for k in range(len(w) - n + 1) if (g := w[k : k + n]) in frequent}:
             owners.setdefault(g, []).append(i)
-    in_clean: Counter = Counter()
+    in_clean, words_of_clean, words_of_toxic = Counter(), Counter(), Counter()
     for t in clean:
-        in_clean.update({g for w in t for n in GRAMS for k in range(len(w) - n + 1) if (g := w[k : k + n]) in owners})
-    rate = lambda g, n: n / len(toxic) - 10 * in_clean[g] / max(1, len(clean))
-    share = len(toxic) / max(1, len(toxic) + len(clean))
-    parts: set[bytes] = set()
-    akin = lambda g: any(g[k : k + 3] in parts for k in range(len(g) - 2))
-    sure = lambda g, n: (r := rate(g, n)) > 0 and (chance(n, in_clean[g], share) * len(owners) < CHANCE or (r >= SHARE or not chosen) and not akin(g))
-    chosen: list[bytes] = []
+        hits = Counter(g for w in t for g in {w[k : k + n] for n in GRAMS for k in range(len(w) - n + 1)} if g in owners)
+        in_clean.update(hits.keys())
+        words_of_clean.update(hits)
+    for t in toxic:
+        words_of_toxic.update(g for w in t for g in {w[k : k + n] for n in GRAMS for k in range(len(w) - n + 1)} if g in owners)
+    many, most = sum(map(len, toxic)), sum(map(len, clean))
+    share = len(toxic) / (len(toxic) + len(clean))
+    worth = lambda g: telling(words_of_toxic[g], many, words_of_clean[g], most)
+    sure = lambda g, n: n > (n + in_clean[g]) * share and chance(n, in_clean[g], share) * len(owners) < CHANCE
     pool = {g: set(x) for g, x in owners.items() if sure(g, len(x))}
-    # a gram whose extension covers the same texts says less than the extension
+    chosen: list[bytes] = []
     covered: Counter = Counter()
     rest = [set(t) for t in toxic]
-    while pool and len(chosen) < LANDMARKS - CLEAN_LANDMARKS:
-        best = max(pool, key=lambda g: (rate(g, len(pool[g])), len(g), g))
+    while pool and len(chosen) < LANDMARKS:
+        best = max(pool, key=lambda g: (worth(g), len(g), g))
         got = pool.pop(best)
         if not sure(best, len(got)):
             continue
         chosen.append(best)
-        parts.update(best[k : k + 3] for k in range(len(best) - 2))
         covered.update(got)
         full = {i for i in got if covered[i] >= COVER}
         # words that hold the new landmark are explained: what else they hold is not counted for them again
@@ -235,23 +260,33 @@ def landmarks_of(toxic: list[set[bytes]], clean: list[set[bytes]]) -> list[bytes
             for g in {w[k : k + n] for w in gone for n in GRAMS for k in range(len(w) - n + 1)} & pool.keys():
                 if g not in left_over:
                     pool[g].discard(i)
+            words_of_toxic.subtract(g for w in gone for g in {w[k : k + n] for n in GRAMS for k in range(len(w) - n + 1)} if g in owners)
         pool = {g: left for g, x in pool.items() if len(left := x - full if full else x) >= least}
-    usual = Counter(w for t in clean for w in t if len(w) >= 5)
-    return chosen + [w[:WIDTH] for w, _ in sorted(usual.items(), key=lambda x: (-x[1], x[0]))[:CLEAN_LANDMARKS]]
+    most_of = lambda texts, fits, n: [w for w, _ in sorted(Counter(w for t in texts for w in t if fits(w)).items(), key=lambda x: (-x[1], x[0]))[:n]]
+    whole = [w for g in chosen for w in most_of(toxic, lambda w: g in w and w != g, WHOLE)]  # noqa: B023
+    alike = [w for g in chosen for w in most_of(clean, lambda w: g in w and w != g, WHOLE)]  # noqa: B023
+    usual = most_of(clean, lambda w: len(w) >= 6, CLEAN_LANDMARKS)
+    return list(dict.fromkeys([*chosen, *whole, *alike, *usual])), len(chosen), [g for g in chosen if not in_clean[g]]
+
+
+def torn(word: bytes, k: int) -> bytes:
+    """The word with a character put in, k choosing the place and the character."""
+    first = word.startswith(START) + 1
+    at = first + k % max(1, len(word) - first)
+    return word[:at] + b"xz1q"[k % 4 : k % 4 + 1] + word[at:]
 
 
-def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10.0, steps: int = 60) -> tuple[np.ndarray, float]:
-    """Squared-hinge linear machine by Newton steps on the examples inside the margin."""
-    a = np.column_stack([x, np.ones(len(x))])
-    w, ridge = np.zeros(a.shape[1]), np.diag([1.0] * x.shape[1] + [1e-6])
+def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10.0, steps: int = 60) -> np.ndarray:
+    """Squared-hinge linear machine by Newton steps on the examples inside the margin; the last two columns are hardly held back."""
+    w, ridge = np.zeros(x.shape[1]), np.diag([1.0] * (x.shape[1] - 2) + [1e-3, 1e-3])
     for _ in range(steps):
-        inside = y * (a @ w) < 1
-        b, c = a[inside], cost * weight[inside]
+        inside = y * (x @ w) < 1
+        b, c = x[inside], cost * weight[inside]
         new = np.linalg.solve(ridge + (b * c[:, None]).T @ b, (b * c[:, None]).T @ y[inside])
         if np.allclose(new, w, atol=1e-9):
             break
         w = 0.5 * (w + new)
-    return w[:-1], float(w[-1])
+    return w
 
 
 def train(toxic: list[bytes], clean: list[bytes]) -> Model:
@@ -259,42 +294,37 @@ def train(toxic: list[bytes], clean: list[bytes]) -> Model:
     good, bad = [units(t) for t in dict.fromkeys(clean)], [units(t) for t in dict.fromkeys(toxic)]
     if not good or not bad:
         return Model([])
-    model = Model(landmarks_of(bad, good))
-    if not model.landmarks:
+    marks, n, pure = landmarks_of(bad, good)
+    model = Model(marks, n)
+    if not model.toxic:
         return model
-    words = sorted(set().union(*good))
-    k, z = model.kernels(words)
-    negative = np.concatenate([z, np.zeros((1, len(model.landmarks)))]) @ model.root
-    each = []
-    for t in bad:
-        w = sorted(t)
-        _, z = model.kernels(w)
-        each.append(z)
-    toxic_landmarks = max(1, len(model.landmarks) - CLEAN_LANDMARKS)
-    pick = [z[np.argmax(z[:, :toxic_landmarks].max(axis=1))] for z in each if len(z)]
-    # insults with a character put in at each place
-    torn = sorted({x[:k] + c + x[k:] for x in model.landmarks[:toxic_landmarks] for k in range(1, len(x)) for c in (b".", b"-", b"_")})
-    _, gapped = model.kernels(torn)
-    gapped = gapped[gapped[:, :toxic_landmarks].max(axis=1) > gapped[:, toxic_landmarks:].max(axis=1, initial=0)]
-    for _ in range(ROUNDS):
-        if not pick:
-            return model
-        positive = np.concatenate([np.array(pick), gapped]) @ model.root
-        x, y = np.concatenate([positive, negative]), np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
-        weight = np.concatenate([np.full(len(positive), 0.5 / len(positive)), np.full(len(negative), 0.5 / len(negative))]) * len(positive)
-        model.weights, model.bias = svm(x, y, weight)
-        pick = [z[np.argmax(z @ model.root @ model.weights)] for z in each if len(z)]
-    v = np.array(model.values(good + bad))
-    t = np.concatenate([np.full(len(good), 1 / (len(good) + 2)), np.full(len(bad), (len(bad) + 1) / (len(bad) + 2))])
+    found = model.landmarks[: model.toxic]
+    holds = re.compile(b"|".join(map(re.escape, found)))
+    gapped = [{torn(w, zlib.crc32(w)) if holds.search(w) else w for w in t} for t in bad]
+    alone = [{START + x.removeprefix(START)} for g in pure for x in (g, *(torn(g, k) for k in range(4 * len(g))))]
+    # nothing, and each frequent clean word alone, are clean
+    nothing = [set(), *({w} for w in model.landmarks[-CLEAN_LANDMARKS:] if not holds.search(w))]
+    groups = (good, nothing, bad, gapped, alone)
+    x = np.concatenate([model.features(t) for t in groups if t])
+    clean_ones = len(good) + len(nothing)
+    y = np.concatenate([-np.ones(clean_ones), np.ones(len(x) - clean_ones)])
+    weight = np.concatenate([np.full(len(t), share / max(1, len(t))) for t, share in zip(groups, SHARES, strict=True)]) * len(bad)
+    w = svm(x, y, weight)
+    model.weights, model.per_word, model.bias = w[:-2], float(w[-2]) / HALF, float(w[-1])
+    model.memo.drop()
+    # Platt's curve over the texts as they are and torn
+    v = x @ w
+    n = len(x) - clean_ones
+    t = np.concatenate([np.full(clean_ones, 1 / (clean_ones + 2)), np.full(n, (n + 1) / (n + 2))])
     a = np.column_stack([v, np.ones(len(v))])
-    w = np.zeros(2)
+    c = np.zeros(2)
     for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -50, 50)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 1e-4 * np.eye(2), a.T @ (t - p) - 1e-4 * w)
-        w += np.clip(step, -2, 2)
+        p = 1 / (1 + np.exp(-np.clip(a @ c, -50, 50)))
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 1e-4 * np.eye(2), a.T @ (t - p) - 1e-4 * c)
+        c += np.clip(step, -2, 2)
         if abs(step).max() < 1e-7:
             break
-    model.slope, model.offset = max(float(w[0]), 0.0), float(w[1])
+    model.slope, model.offset = max(float(c[0]), 0.0), float(c[1])
     return model
 
 
@@ -306,7 +336,7 @@ def labelled(docs: DataFrame, labels: DataFrame) -> tuple[list[bytes], list[byte
         some = rows.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         ids = some if ids is None else ids.union(some)
     # MOST_TOXIC + MOST_CLEAN ids at most
-    got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where("text IS NOT NULL").orderBy("doc_id").collect()
+    got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where("text IS NOT NULL").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id", "toxic").collect()
     out = [r.text.encode() for r in got if r.toxic == 1], [r.text.encode() for r in got if r.toxic == 0]
     C.trim()
     return out

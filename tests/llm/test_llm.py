@@ -282,7 +282,10 @@ def test_toxicity_learns_and_tolerates_gaps():
     model = toxicity.train([t.encode() for t in toxic[:60]], [c.encode() for c in clean[60:]])
     score = lambda *ts: model.scores([toxicity.units(t.encode()) for t in ts])
     assert min(score(*toxic[60:])) > 0.7 and max(score(*clean[:30])) < 0.3
-    assert min(score("you i d i o t", "an idi.ot", "bufffoon")) > 0.3 and max(score("", "nothing here")) < 0.3
+    insults = ("idiot", "wretch", "buffoon")
+    assert min(score(*insults, "you i d i o t", "an idi.ot", "bufffoon")) > toxicity.CUTOFF
+    assert min(score(*(x[:k] + c + x[k:] for x in insults for k in range(1, len(x)) for c in ".-x7"))) > toxicity.CUTOFF
+    assert max(score("", "nothing here", "lorem ipsum")) < 0.3
 
 
 def test_toxicity_sees_through_marks():
@@ -315,14 +318,43 @@ def test_kernel_is_its_definition():
                     c[w[i] << 16 | w[j] << 8 | w[m]] += toxicity.DECAY ** (m - i - 2)
         return sum(v * f[1][u] for u, v in f[0].items())
 
-    model = toxicity.Model([b"idiot", b"loser"])
-    words = [b"idiot", b"id.iot", b"xxidiotxx", b"looser", b"zzz"]
-    at, z = model.kernels(words)
-    for i, row in zip(at, z, strict=True):
-        for mark, got in zip(model.landmarks, row, strict=True):
-            want = min(1.0, k(words[i], mark) / k(mark, mark))
-            assert got == pytest.approx(want if want >= toxicity.THRESHOLD else 0)
-    assert {words[i] for i in at} == {b"idiot", b"id.iot", b"xxidiotxx", b"looser"}
+    def kernel(x, y):
+        return (k(x, y) / np.sqrt(k(x, x) * k(y, y))) ** toxicity.POWER if k(x, x) else 0.0
+
+    marks = [b"\x02idiot", b"loser", b"\x02losers"]
+    model = toxicity.Model(marks, 2)
+    words = [b"\x02idiot", b"\x02id.iot", b"\x02xxidiotxx", b"\x02looser", b"\x02zzz", b"\x02a", b"\x02idididid"]
+    want = np.array([[kernel(w, m) for m in marks] for w in words])
+    assert np.allclose(model.kernels(words), want, atol=1e-5)
+    # the Nystroem map: inner products of landmarks' features are their kernels; a text's features are sums over its words
+    gram = np.array([[kernel(x, y) for y in marks] for x in marks])
+    values, vectors = np.linalg.eigh(gram + 1e-3 * np.eye(3))
+    root = vectors @ np.diag(values**-0.5) @ vectors.T
+    assert np.allclose((gram @ root) @ (gram @ root).T, gram, atol=0.01)
+    texts = [set(words), {words[0]}, set()]
+    for got, t in zip(model.features(texts), texts, strict=True):
+        scale = 1 + len(t) / toxicity.HALF
+        assert np.allclose(got, [*(sum((np.array([kernel(w, m) for m in marks]) for w in t), np.zeros(3)) @ root / scale), len(t) / toxicity.HALF / scale, 1 / scale], atol=1e-4)
+    model.weights, model.per_word, model.bias = np.array([1.0, -2.0, 0.5]), 0.1, -1.0
+    assert np.allclose(model.values(texts), model.features(texts) @ [1.0, -2.0, 0.5, 0.1 * toxicity.HALF, -1.0], atol=1e-4)
+
+
+def test_toxicity_of_held_out_labels_in_every_language():
+    """Recall and precision on the labels that the driver's largest table holds back."""
+    import pandas as pd
+
+    d = "/root/testdata/sf0.1"
+    rows = pd.read_parquet(f"{d}/documents.parquet", columns=["doc_id", "text", "lang"]).merge(pd.read_parquet(f"{d}/labels.parquet"), on="doc_id")
+    held = np.array([C.crc_mod(i, 3) == 1 for i in rows.doc_id])
+    seen = rows[~held]
+    model = toxicity.train(*([t.encode() for t in seen.text[seen.toxic == x]] for x in (1, 0)))
+    rest = rows[held].reset_index(drop=True)
+    hit = np.array(model.scores([toxicity.units(t.encode()) for t in rest.text])) >= toxicity.CUTOFF
+    toxic = (rest.toxic == 1).to_numpy()
+    assert hit[toxic].mean() >= 0.9 and toxic[hit].mean() >= 0.9
+    for lang in ("en", "de", "fr", "es"):
+        own = (rest.lang == lang).to_numpy()
+        assert hit[own & toxic].mean() >= 0.85 and toxic[own & hit].mean() >= 0.8
 
 
 def test_toxicity_edges(spark, edges, empty):
@@ -330,6 +362,9 @@ def test_toxicity_edges(spark, edges, empty):
     assert toxicity.filtered(edges, labels).count() == edges.count()
     model = toxicity.train(*toxicity.labelled(empty, labels))
     assert max(r.score for r in toxicity.score(edges, model).collect()) < 1e-9
+    assert toxicity.score(empty, model).count() == 0 and toxicity.filtered(empty, labels).count() == 0
+    repeated = frame(spark, ["b", "a", "c"], [1, 1, 4])
+    assert toxicity.labelled(repeated, labels) == ([b"a"], [b"c"] if C.crc_mod(4, 3) != 1 else [])
 
 
 # language model ------------------------------------------------------------------------------------
