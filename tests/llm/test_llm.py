@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -387,35 +388,123 @@ def test_lm_base_is_its_sql(spark, oracle, small):
 
 def test_bits_make_a_distribution():
     """Over the next byte, probabilities add up to 1 whatever came before."""
-    table = np.zeros((int(lm_scoring.STARTS[-1]), 2), np.float32)
+    table = np.zeros((int(lm_scoring.sizes_of(2)[-1]), 2), np.float32)
     words = [b"hello", b"help", b"hold", "é".encode()]
-    lm_scoring.count(words, table)
-    mixer = lm_scoring.Mixer()
-    mixer.learn(table, words)
+    lm_scoring.count(words, table, 2)
+    speller = lm_scoring.Speller(table, 2)
+    speller.learn(words)
     tails = [bytes([b]) for b in range(256)]
-    slots, bits, nodes, owner = lm_scoring.bits_of([b"he" + t for t in tails])
-    stretched, gate, nodes, bits, owner = mixer.inputs(table, [b"he" + t for t in tails], False)
-    p = mixer.refined(mixer.mixed(stretched, gate), nodes)
+    stretched, gate, nodes, bits, owner = speller.inputs([b"he" + t for t in tails], False)
+    p = speller.mixer.refined(speller.mixer.mixed(stretched, gate), nodes)
     each = np.where(bits == 1, p, 1 - p)[2::3].prod(axis=1)
     assert each.sum() == pytest.approx(1) and each[ord("l")] > each[ord("z")]
 
 
-def test_adaptation_is_its_definition():
-    rng = np.random.default_rng(4)
-    sizes = np.array([0, 5, 1, 40, 0, 12])
-    tokens, p = rng.integers(0, 6, sizes.sum()).astype(np.int32), rng.uniform(0.01, 0.2, 6)
-    want, at = [], 0
-    for n in sizes:
-        seen, total = Counter(), 0.0
-        for i, t in enumerate(tokens[at : at + n].tolist()):
-            total += np.log10((lm_scoring.CACHE * p[t] + seen[t]) / (lm_scoring.CACHE + i))
-            seen[t] += 1
-        want.append(total)
-        at += n
-    for chunk in (1, 7, 1 << 19):
-        lm_scoring.CHUNK, old = chunk, lm_scoring.CHUNK
-        assert np.allclose(lm_scoring.adapted(p, tokens, sizes), want)
-        lm_scoring.CHUNK = old
+def block_of(texts):
+    """A Block of texts and its words."""
+    words = sorted({w for t in texts for w in t.split()})
+    number = {w: k for k, w in enumerate(words)}
+    tokens = np.array([number[w] for t in texts for w in t.split()], np.int32)
+    return lm_scoring.Block(tokens, np.array([len(t.split()) for t in texts], np.int64), lm_scoring.word_hashes([w.encode() for w in words])), words
+
+
+def no_answers():
+    empty = {"key": pa.array([], pa.int64()), "d1": pa.array([], pa.int64()), "x1": pa.array([], pa.binary()), "x2": pa.array([], pa.binary()), "n": pa.array([], pa.int32())}
+    return lm_scoring.Answers.of(pa.table(empty))
+
+
+def answers_from(block, ids):
+    """What answers_of() finds, by hand: every anchor that two documents hold."""
+    p, key = block.anchors()
+    seen = defaultdict(list)
+    for q, k in zip(p, key, strict=True):
+        seen[int(k)].append((int(ids[block.owner[q]]), block.following(np.array([q]))[0].tobytes()))
+    rows = [(np.uint64(k).astype(np.int64), min(x), max(x), len({d for d, _ in x})) for k, x in seen.items() if len({d for d, _ in x}) > 1]
+    cols = {"key": pa.array([int(r[0]) for r in rows], pa.int64()), "d1": pa.array([r[1][0] for r in rows], pa.int64()), "x1": pa.array([r[1][1] for r in rows], pa.binary()), "x2": pa.array([r[2][1] for r in rows], pa.binary()), "n": pa.array([r[3] for r in rows], pa.int32())}
+    return lm_scoring.Answers.of(pa.table(cols))
+
+
+def test_decisions_are_their_definition():
+    """Each decision, followed token by token; with other words to come, the past decides alike."""
+    rng = random.Random(6)
+    passage = " ".join(f"p{rng.randrange(400)}" for _ in range(120))
+    texts = ["", *(" ".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 40))) for _ in range(8)), passage, "x y " + passage, "z"]
+    block, words = block_of(texts)
+    ids = np.arange(len(texts))
+    known = answers_from(block, ids)
+    assert len(known.keys)
+    d = block.decisions(ids, known)
+    kind = np.where(d.gate < 10, "A", np.where(d.gate < 14, "B", "C"))
+    got = defaultdict(dict)
+    for q, k, bit in zip(d.place, kind, d.bit, strict=True):
+        got[int(q)][k] = int(bit)
+    expected, _, _ = block.expected(ids, known)
+    q = 0
+    for text in texts:
+        w = [*text.split(), None]
+        for i, x in enumerate(w):
+            want = {}
+            here = int(block.short(np.array([q]))[0])
+            if expected[q]:
+                want["A"] = int(expected[q] == here)
+            j = max((j for j in range(i - 1) if w[j] == w[i - 1]), default=None)
+            guess = w[j + 1] if j is not None else None
+            agrees = guess is not None and expected[q] and block.hashes[words.index(guess)] & np.uint64(0xFFFFFFFF) == expected[q]
+            if not want.get("A") and guess is not None and not agrees:
+                want["B"] = int(guess == x)
+            if i and not want.get("A") and not want.get("B"):
+                want["C"] = int(x in w[:i])
+            assert got[q] == want, (text, i)
+            q += 1
+    # most of a passage that another document holds is expected
+    assert (d.hit[block.owner == len(texts) - 2].mean()) > 0.5 and not d.hit[block.owner == 1].any()
+
+
+def test_probabilities_of_the_next_token_add_up_to_one_at_most():
+    words = [f"w{k}" for k in range(12)]
+    rng = random.Random(2)
+    u = np.array([*rng.choices(range(1, 9), k=12), 3.0])
+    u /= u.sum()
+    start = "w1 w2 w3 w1 w2 w5 w1".split()
+    # every continuation by one word, and the end at once
+    texts = [" ".join([*words]), *(" ".join([*start, w]) for w in words), " ".join(start)]
+    block, names = block_of(texts)
+    order = {w: k for k, w in enumerate(names)}
+    u = np.array([*(u[words.index(w)] for w in names), u[-1]])
+    table = np.random.default_rng(1).integers(0, 50, (lm_scoring.KINDS * lm_scoring.CONTEXTS * lm_scoring.WIDE, 2))
+    chooser = lm_scoring.Chooser(table)
+    d = block.decisions(np.arange(len(texts)), no_answers())
+    at = np.log10(np.zeros(len(block.t)) + 1)
+    place, n = np.arange(len(block.t)), len(block.t)
+    first = np.where(d.new & ~block.last, u[block.t], 0.0)
+    total = np.cumsum(first) - first
+    total -= total[place - block.at]
+    at = np.where(d.new, u[block.t] / (1 - total), (d.times + lm_scoring.LEAN * u[block.t]) / (block.at + lm_scoring.LEAN * total + 1e-300))
+    at[d.again] = 1
+    at = at * 10 ** np.bincount(d.place, chooser.log10(d), n)
+    next_one = [at[(block.owner == k) & (block.at == len(start))][0] for k in range(1, len(texts))]
+    assert 0.5 < sum(next_one) <= 1 + 1e-9 and len(order) == 12
+    # the price of a text is the product of its tokens'
+    want = np.bincount(block.owner, np.log10(at), len(texts))
+    assert np.allclose(lm_scoring.priced(block, d, chooser, u), want)
+
+
+def test_lm_tells_documents_that_occur_twice(spark):
+    rng = random.Random(3)
+    text = lambda: " ".join(f"v{int(rng.paretovariate(0.7)) % 3000}" for _ in range(150))
+    texts = [text() for _ in range(120)]
+    texts += texts[:15]
+    docs = frame(spark, texts).select("doc_id", "text")
+    got = {r.doc_id: r for r in lm_scoring.scored(docs).collect()}
+    other = {k: k + 120 if k < 15 else k - 120 for k in [*range(15), *range(120, 135)]}
+    known = [k for k, o in other.items() if not got[o].held_out]
+    rate = lambda k: (got[k].score - got[k].base_score) / got[k].n_tokens
+    single = sorted(rate(k) for k in range(15, 120))
+    assert known and np.mean([rate(k) > single[-5] for k in known]) > 0.9
+    # the same whatever tasks and blocks the rows come in
+    again = {r.doc_id: r for r in lm_scoring.scored(docs.repartition(7)).collect()}
+    assert all(again[k].score == pytest.approx(r.score, rel=1e-9) and again[k].base_score == pytest.approx(r.base_score, rel=1e-9) for k, r in got.items())
+    assert all(r.n_bytes == len(texts[k]) and r.bits_per_byte == pytest.approx(-r.score * np.log2(10) / len(texts[k])) for k, r in got.items())
 
 
 def test_lm_edges(edges, empty):
