@@ -43,6 +43,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
+def free(spark: SparkSession) -> None:
+    """Shuffle files of steps that are done go now, not when the driver next collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Intermediate tables hold hashes and packed arrays: no dictionaries, and row groups that a small executor can buffer.
 WRITE = {"compression": "zstd", "parquet.enable.dictionary": "false", "parquet.block.size": str(16 << 20)}
 
