@@ -409,7 +409,7 @@ def block_of(texts):
 
 
 def no_answers():
-    empty = {"key": pa.array([], pa.int64()), "d1": pa.array([], pa.int64()), "x1": pa.array([], pa.binary()), "x2": pa.array([], pa.binary()), "n": pa.array([], pa.int32())}
+    empty = {"key": pa.array([], pa.int64()), "d": pa.array([], pa.int64()), "x": pa.array([], pa.binary()), "n": pa.array([], pa.float64())}
     return lm_scoring.Answers.of(pa.table(empty))
 
 
@@ -420,7 +420,8 @@ def answers_from(block, ids):
     for q, k in zip(p, key, strict=True):
         seen[int(k)].append((int(ids[block.owner[q]]), block.following(np.array([q]))[0].tobytes()))
     rows = [(np.uint64(k).astype(np.int64), min(x), max(x), len({d for d, _ in x})) for k, x in seen.items() if len({d for d, _ in x}) > 1]
-    cols = {"key": pa.array([int(r[0]) for r in rows], pa.int64()), "d1": pa.array([r[1][0] for r in rows], pa.int64()), "x1": pa.array([r[1][1] for r in rows], pa.binary()), "x2": pa.array([r[2][1] for r in rows], pa.binary()), "n": pa.array([r[3] for r in rows], pa.int32())}
+    follow = [r[1][1] + (r[2][1] if r[2][1] != r[1][1] else b"") for r in rows]
+    cols = {"key": pa.array([int(r[0]) for r in rows], pa.int64()), "d": pa.array([r[1][0] for r in rows], pa.int64()), "x": pa.array(follow, pa.binary()), "n": pa.array([float(r[3]) for r in rows])}
     return lm_scoring.Answers.of(pa.table(cols))
 
 
