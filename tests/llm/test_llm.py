@@ -637,3 +637,10 @@ def test_entry_without_the_subpackage(tmp_path):
 def test_columns_of_hashes(spark):
     df = spark.createDataFrame([(0,), (7,), (None,)], "doc_id long").select(C.crc_mod_col("doc_id", 3).alias("m"), F.col("doc_id"))
     assert [(r.m, r.doc_id) for r in df.collect()] == [(C.crc_mod(0, 3), 0), (C.crc_mod(7, 3), 7), (None, None)]
+
+
+def test_numbers_in_planes_round_trip():
+    for top in (1, 1 << 10, 1 << 23, 1 << 30):
+        x = np.random.default_rng(top).integers(0, top, 1000).astype(np.int32)
+        assert (lm_scoring.unplaned(lm_scoring.planes(x), 1000) == x).all()
+    assert len(lm_scoring.unplaned(lm_scoring.planes(np.zeros(0, np.int32)), 0)) == 0
