@@ -134,7 +134,10 @@ class Engine:
         t = self.store.table
         ids = self.spark.createDataFrame([(identifier(which, "m"),)], "id long")
         memories, relations = maintenance.forget(t("memories"), t("relations"), t("relation_evidence"), ids, self.clock(), hard)
-        self.store.commit({"memories": memories, "relations": relations})
+        out = {"memories": memories, "relations": relations}
+        if hard:
+            out |= maintenance.erased({n: t(n) for n in ("memories_vec", "mentions", "relation_evidence")}, ids)
+        self.store.commit(out)
 
     def merge(self, keep: str, other: str) -> None:
         """Two names are one entity: the other's rows become keep's."""
@@ -142,11 +145,11 @@ class Engine:
         a, b = self.resolve(keep), self.resolve(other)
         if a == b:
             raise Rejected("the same entity")
-        relations, mentions = maintenance.merge(t("relations"), t("mentions"), a, b, self.clock())
+        relations, mentions, evidence = maintenance.merge(t("relations"), t("mentions"), a, b, self.clock(), t("relation_evidence"))
         moved = t("entity_aliases").withColumn("entity_id", F.when(F.col("entity_id") == b, F.lit(a)).otherwise(F.col("entity_id")).cast("long")).dropDuplicates(["entity_id", "alias_norm"])
         n = t("entities").where(F.col("id") == b).select("mention_count").first()[0]
         entities = t("entities").where(F.col("id") != b).withColumn("mention_count", F.when(F.col("id") == a, F.col("mention_count") + n).otherwise(F.col("mention_count")))
-        self.store.commit({"relations": relations, "mentions": mentions, "entity_aliases": moved, "entities": entities})
+        self.store.commit({"relations": relations, "mentions": mentions, "relation_evidence": evidence, "entity_aliases": moved, "entities": entities})
 
     def alias(self, entity: str, alias: str) -> None:
         """Another name of an entity; refused if it names another one."""
@@ -178,14 +181,15 @@ class Engine:
             queries = self.spark.createDataFrame(list(enumerate(queries)), "query_id long, q string")
         k = min(50, max(1, k))
         depth = max(5 * k, 50)
-        fits = validity.eligible(clock.now, cut, history, **filters)
+        fits = validity.eligible(cut, history, **filters)
         memories = self.store.table("memories").where(fits)
         asked = queries.select("query_id", "q", X.search_terms(F.col("q")).alias("terms"), embedded(F.col("q"), self.embedder).alias("embedding"))
         posted = retrieval.postings(memories.select("id", X.tokens(F.col("content")).alias("words"), "tags"), {"words": 1.0, "tags": 2.0})
         words = retrieval.bm25(posted, asked, depth, self.config.fts_prefix_min).select("query_id", "id", "rank", F.lit("bm25").alias("channel"))
         vectors = self.store.table("memories_vec").join(memories.select("id"), "id", "left_semi").select("id", "embedding")
         near = retrieval.knn(vectors, asked.select(F.col("query_id"), "embedding").withColumn("query_id", -F.col("query_id") - 1), depth).withColumn("query_id", -F.col("query_id") - 1)
-        channels = [words, near.select("query_id", "id", "rank", F.lit("vector").alias("channel")), self._timed(memories, near, queries, clock, depth), *self._linked(memories, asked, near, clock, cut, history, depth)]
+        spans = self._spans(queries, clock)
+        channels = [words, near.select("query_id", "id", "rank", F.lit("vector").alias("channel")), self._timed(memories, near, spans, depth), *self._linked(memories, asked, near, clock, cut, history, depth)]
         weights = {"bm25": self.config.w_bm25, "vector": self.config.w_vector, "time": self.config.w_temporal, "graph": self.config.w_graph, "path": self.config.w_path}
         fused = ranking.rrf(reduce(DataFrame.unionByName, channels), weights, self.config)
         # nothing is found for a query that only far vectors speak for
@@ -198,7 +202,9 @@ class Engine:
         asks = queries.select("query_id", denies(F.col("q")).alias("asks"))
         denied = self.store.table("relations").where("polarity = 0").select(F.col("id").alias("relation_id")).join(self.store.table("relation_evidence"), "relation_id").select(F.col("memory_id").alias("id")).distinct().withColumn("denied", F.lit(True))
         rows = rows.join(asks, "query_id").join(denied, "id", "left").where(~F.col("asks") | F.coalesce("denied", F.lit(False)) | denies(F.col("content"))).drop("asks", "denied")
-        score = ranking.modified(F.col("score"), validity.ended(clock.now if cut is None else cut), F.lit(False), F.lit(clock.now) - F.col("valid_from"), F.col("importance"), history, cut is not None, self.config)
+        rows = rows.join(spans, "query_id", "left")
+        inside = F.coalesce(F.col("valid_from").between(F.col("a"), F.col("z") - 1), F.lit(False))
+        score = ranking.modified(F.col("score"), validity.ended(clock.now if cut is None else cut), inside, F.lit(clock.now) - F.col("valid_from"), F.col("importance"), history, cut is not None, self.config)
         rows = rows.withColumn("score", score).join(self.store.table("memories_vec").select("id", "embedding"), "id")
         best = retrieval.top(rows, 3 * k)
         chosen = ranking.diversified(best, k, self.config).withColumnRenamed("position", "rank")
@@ -206,14 +212,17 @@ class Engine:
         packed = ranking.packed(kept, budget)
         return packed.select("query_id", "id").join(kept, ["query_id", "id"]).select("query_id", F.col("rank").alias("position"), "id", "content", "score", "cost")
 
-    def _timed(self, memories: DataFrame, near: DataFrame, queries: DataFrame, clock: T.Clock, depth: int) -> DataFrame:
-        """Memories that start inside the time which a query names, by cosine."""
+    def _spans(self, queries: DataFrame, clock: T.Clock) -> DataFrame:
+        """(query_id, a, z): the time, from a to before z, that a query names."""
 
         def window(q: str) -> str | None:
             w = T.find_window(q, clock)
             return f"{w.start},{w.end}" if w else None
 
-        spans = queries.select("query_id", F.split(X.vectorised(window)(F.col("q")), ",").alias("w")).where("w IS NOT NULL").select("query_id", F.element_at("w", 1).cast("long").alias("a"), F.element_at("w", 2).cast("long").alias("z"))
+        return queries.select("query_id", F.split(X.vectorised(window)(F.col("q")), ",").alias("w")).where("w IS NOT NULL").select("query_id", F.element_at("w", 1).cast("long").alias("a"), F.element_at("w", 2).cast("long").alias("z"))
+
+    def _timed(self, memories: DataFrame, near: DataFrame, spans: DataFrame, depth: int) -> DataFrame:
+        """Memories that start inside the time which a query names, by cosine."""
         inside = memories.select("id", "valid_from").join(spans, F.col("valid_from").between(F.col("a"), F.col("z") - 1))
         scored = inside.join(near.select("query_id", "id", "cosine"), ["query_id", "id"], "left").withColumn("cosine", F.coalesce("cosine", F.lit(0.0)))
         return retrieval.top(scored, depth, "cosine").select("query_id", "id", "rank", F.lit("time").alias("channel"))

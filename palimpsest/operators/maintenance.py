@@ -44,8 +44,20 @@ def forget(memories: DataFrame, relations: DataFrame, evidence: DataFrame, ids:
     return mark(memories, gone), mark(relations, lost)
 
 
-def merge(relations: DataFrame, mentions: DataFrame, keep: int, other: int, now: int) -> tuple[DataFrame, DataFrame]:
-    """(relations, mentions) after entity `other` became `keep`: ends and subjects rewritten, loops expired, equal live triples joined."""
+def duplicates(rows: DataFrame, key: list[str]) -> DataFrame:
+    """(key, n, kept): keys that several rows (id) have, and the first of them."""
+    return rows.groupBy(*key).agg(F.count("*").alias("n"), F.min("id").alias("kept")).where("n > 1")
+
+
+def erased(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
+    """tables without the rows of memories ids (id): by column memory_id, or id where a table has none."""
+    gone = ids.select(F.col("id").alias("__gone")).distinct()
+    key = lambda t: "memory_id" if "memory_id" in t.columns else "id"
+    return {name: t.join(gone, F.col(key(t)) == F.col("__gone"), "left_anti") for name, t in tables.items()}
+
+
+def merge(relations: DataFrame, mentions: DataFrame, keep: int, other: int, now: int, evidence: DataFrame | None = None) -> tuple[DataFrame, ...]:
+    """(relations, mentions, evidence if given) after entity `other` became `keep`: ends and subjects rewritten, loops expired, equal live triples joined, their evidence with them."""
     to = lambda c: F.when(F.col(c) == other, F.lit(keep)).otherwise(F.col(c)).cast("long")
     moved = relations.withColumns({c: to(c) for c in ("subj", "src", "dst") if c in relations.columns})
     moved = moved.withColumn("expired_at", F.when((F.col("src") == F.col("dst")) & F.col("expired_at").isNull(), F.lit(now)).otherwise(F.col("expired_at")))
@@ -54,7 +66,12 @@ def merge(relations: DataFrame, mentions: DataFrame, keep: int, other: int, now:
     key = ["src", "predicate_id", "dst", "polarity"]
     agg = [F.min("valid_from").alias("valid_from") if c == "valid_from" else F.sum("evidence_count").alias(c) if c == "evidence_count" else F.min_by(c, "id").alias(c) for c in live.columns if c not in key]
     joined = live.groupBy(*key).agg(*agg).select(*relations.columns)
-    return joined.unionByName(rest.select(*relations.columns)), mentions.withColumn("entity_id", to("entity_id")).distinct()
+    out = joined.unionByName(rest.select(*relations.columns)), mentions.withColumn("entity_id", to("entity_id")).distinct()
+    if evidence is None:
+        return out
+    became = live.select(*key, F.col("id").alias("relation_id")).join(joined.select(*key, F.col("id").alias("__kept")), key).where("relation_id <> __kept").select("relation_id", "__kept")
+    held = evidence.join(became, "relation_id", "left").withColumn("relation_id", F.coalesce("__kept", "relation_id")).drop("__kept").select(*evidence.columns).distinct()
+    return *out, held
 
 
 def guarded(query: str) -> str:

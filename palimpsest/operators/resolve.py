@@ -25,9 +25,10 @@ def gazetteer(docs: DataFrame, aliases: DataFrame, most: int = 4) -> DataFrame:
     """
     own = aliases.where(F.length("alias") >= 3).groupBy("alias").agg(F.count_distinct("entity_id").alias("n"), F.min("entity_id").alias("entity_id")).where("n = 1")
     own = own.withColumn("parts", F.split("alias", " ")).select("entity_id", "alias", F.element_at("parts", 1).alias("word"), F.size("parts").alias("size")).where(F.col("size") <= most)
-    at = docs.select("id", "words", F.posexplode("words").alias("p", "word"))
-    near = at.select("id", "word", F.transform(F.sequence(F.lit(1), F.lit(most)), lambda k: F.array_join(F.slice("words", F.col("p") + 1, k), " ")).alias("runs"))
-    return near.join(own, "word").where(F.element_at("runs", F.col("size")) == F.col("alias")).select("id", "entity_id").distinct()
+    # each place as its next words only, equal places of a text once, so that a text's rows are linear in its length
+    places = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("words")), lambda i: F.slice("words", i, most)))
+    near = docs.where(F.size("words") > 0).select("id", F.explode(places).alias("run")).withColumn("word", F.element_at("run", 1))
+    return near.join(own, "word").where(F.array_join(F.slice("run", F.lit(1), F.col("size")), " ") == F.col("alias")).select("id", "entity_id").distinct()
 
 
 def lexical_pairs(names: DataFrame, threshold: float = 0.93) -> DataFrame:

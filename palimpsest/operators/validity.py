@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from palimpsest.functions import text as X
+
 
 def valid_at(t: Column | int) -> Column:
     t = t if isinstance(t, Column) else F.lit(t)
@@ -48,17 +50,20 @@ def visible(now: int, as_of: int | None = None, history: bool = False) -> Column
     return F.col("valid_from") <= now if history else valid_at(now) & live()
 
 
-def eligible(now: int, as_of: int | None = None, history: bool = False, kinds: Sequence[str] = (), tags: Sequence[str] = (), scope: str | None = None, source: str | None = None, session: str | None = None, since: int | None = None, until: int | None = None) -> Column:
-    """Whether a memory may be returned. tags: any of them (folded); the other filters: all of them."""
+def eligible(as_of: int | None = None, history: bool = False, kinds: Sequence[str] = (), tags: Sequence[str] = (), scope: str | None = None, source: str | None = None, session: str | None = None, since: int | None = None, until: int | None = None) -> Column:
+    """Whether a memory may be returned: forgotten ones never, replaced ones with history only, ended ones too (they rank lower), at as_of those that held then.
+
+    tags: any of them (folded); the other filters: all of them.
+    """
     out = ~forgotten() & overlaps(since, until)
+    if not history:
+        out = out & live()
     if as_of is not None:
         out = out & valid_at(as_of)
-    elif not history:
-        out = out & valid_at(now) & live()
     if kinds:
         out = out & F.col("kind").isin(*kinds)
     if tags:
-        out = out & F.coalesce(F.arrays_overlap("tags", F.array(*map(F.lit, tags))), F.lit(False))
+        out = out & F.coalesce(F.arrays_overlap("tags", F.array(*map(F.lit, map(X.fold_text, tags)))), F.lit(False))
     for name, value in (("scope", scope), ("source", source), ("session", session)):
         if value is not None:
             out = out & (F.col(name) == value)

@@ -91,3 +91,30 @@ def test_overview_cli_and_server(spark, engine, tmp_path, capsys):
     report = evals.evaluate(fresh, asked, ids)
     assert report["categories"]["all"] == {"n": 1, "recall": 1.0, "mrr": 1.0, "acc": 1.0}
     assert fresh.recall("zzz qqq xxyyzz") == [] and evals.setting("rrf_k=7") == {"rrf_k": 7}
+
+
+def test_a_rejected_memory_leaves_nothing(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "s"), clock=lambda: 1_792_594_800)
+    out = engine.remember_batch([{"content": "Alice knows Bob.", "entities": [{"name": "Alice"}], "relations": [{"source": "Alice", "predicate": "knows"}]}, {"content": "Carol lives in Rome.", "entities": [{"name": "Carol"}]}])
+    assert "error" in out[0] and out[1]["id"] == "m1"
+    assert [r.content for r in engine.store.table("memories").collect()] == ["Carol lives in Rome."] and [r.name for r in engine.store.table("entities").collect()] == ["Carol"]
+    engine.forget("m1", hard=True)
+    assert all(engine.store.table(n).count() == 0 for n in ("memories", "memories_vec", "mentions", "relation_evidence"))
+
+
+def test_store_survives_a_crash_and_refuses_a_second_writer(spark, tmp_path):
+    from palimpsest.sources.store import Store
+
+    first = Store(spark, str(tmp_path / "s"))
+    second = Store(spark, str(tmp_path / "s"))
+    row = spark.createDataFrame([(1, 2)], "memory_id long, entity_id long")
+    first.commit({"mentions": row})
+    with pytest.raises(RuntimeError):
+        second.commit({"mentions": row.limit(0)})
+    assert Store(spark, str(tmp_path / "s")).table("mentions").count() == 1
+    # a manifest cut short by a crash counts as not written, and the next write passes it
+    (tmp_path / "s" / f"manifest-{first.generation + 1:012d}.json").write_text('{"generation"')
+    again = Store(spark, str(tmp_path / "s"))
+    assert again.generation == first.generation and again.table("mentions").count() == 1
+    again.commit({"mentions": row.union(row)})
+    assert Store(spark, str(tmp_path / "s")).table("mentions").count() == 2

@@ -155,8 +155,10 @@ def test_validity_columns(spark):
     df = spark.createDataFrame(rows, "id int, valid_from long, valid_to long, expired_at long, superseded_by long").withColumns({"kind": F.lit("note"), "tags": F.array(F.lit("x")), "scope": F.lit("s")})
     ids = lambda c: {r.id for r in df.where(c).collect()}
     assert ids(validity.valid_at(10)) == {2, 3, 4} and ids(validity.forgotten()) == {3} and ids(validity.ended(10)) == {1, 3, 4} and ids(validity.retracted()) == {3, 4}
-    assert ids(validity.eligible(20)) == {2} and ids(validity.eligible(20, history=True)) == {1, 2, 4} and ids(validity.eligible(20, as_of=3)) == {1, 4}
-    assert ids(validity.eligible(20, tags=("y",))) == set() and ids(validity.overlaps(10, 20)) == {2, 3, 4}
+    # ended memories are returned (and rank lower), replaced ones only with history, forgotten ones never
+    assert ids(validity.eligible()) == {1, 2} and ids(validity.eligible(history=True)) == {1, 2, 4}
+    assert ids(validity.eligible(as_of=3)) == {1} and ids(validity.eligible(as_of=3, history=True)) == {1, 4}
+    assert ids(validity.eligible(tags=("y",))) == set() and ids(validity.eligible(tags=("Z", "X"))) == {1, 2} and ids(validity.overlaps(10, 20)) == {2, 3, 4}
 
 
 def test_follow(spark):
@@ -164,3 +166,15 @@ def test_follow(spark):
     got = {(r.id, r.hops, r.direction) for r in paths.follow(rel, spark.createDataFrame([(0, 1)], "query_id long, entity long"), 2).collect()}
     assert got == {(1, 1, "out"), (4, 1, "in"), (2, 2, "out")}
     assert Counter(r.hops for r in paths.follow(rel, spark.createDataFrame([(0, 1)], "query_id long, entity long"), 3, k=2).collect()) == {1: 2}
+
+
+def test_merge_keeps_evidence(spark):
+    columns = "id long, subj long, src long, predicate_id long, dst long, polarity int, valid_from long, valid_to long, expired_at long, evidence_count long"
+    rel = spark.createDataFrame([(1, 5, 5, 1, 9, 1, 10, None, None, 1), (2, 6, 6, 1, 9, 1, 4, None, None, 2), (3, 6, 6, 1, 5, 1, 0, None, None, 1)], columns)
+    links = spark.createDataFrame([(1, 100), (2, 200), (2, 100), (3, 300)], "relation_id long, memory_id long")
+    mentions = spark.createDataFrame([(100, 5), (200, 6)], "memory_id long, entity_id long")
+    r, m, e = maintenance.merge(rel, mentions, 5, 6, 99, links)
+    assert {(x.id, x.src, x.dst, x.valid_from, x.evidence_count, x.expired_at) for x in r.collect()} == {(1, 5, 9, 4, 3, None), (3, 5, 5, 0, 1, 99)}
+    assert {tuple(x) for x in e.collect()} == {(1, 100), (1, 200), (3, 300)} and {tuple(x) for x in m.collect()} == {(100, 5), (200, 5)}
+    left = maintenance.erased({"mentions": mentions, "relation_evidence": links}, spark.createDataFrame([(100,)], "id long"))
+    assert left["mentions"].count() == 1 and left["relation_evidence"].count() == 2
