@@ -20,11 +20,11 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -143,14 +143,19 @@ def neighbours(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     asking = C.written(usable(queries).where(F.size("x") == d).groupBy("vec_id").agg(F.min("x").alias("x")), "ann-queries")
     n = asking.count()
     parts = max(1, -(-n * 5 // (QUERIES * 4)))
-    found = [search(coded, [(r.vec_id, r.x) for r in asking.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == p).collect()], quantiser, k, schema) for p in range(parts)]  # about QUERIES rows at a time
-    out = reduce(DataFrame.union, found)
+    path = C.scratch_path(spark, "ann-found")
+    for p in range(parts):
+        block = [(r.vec_id, r.x) for r in asking.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == p).collect()]  # about QUERIES rows, which leave the driver before the next ones
+        found, shared = search(coded, block, quantiser, k, schema)
+        found.write.mode("overwrite").options(**C.WRITE).parquet(f"{path}/part={p}")
+        shared.unpersist()
+    out = spark.read.schema(schema).parquet(*[f"{path}/part={p}" for p in range(parts)])
     near = out.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("near"))
     return near.select("query_id", F.posexplode("near").alias("p", "x")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
 
 
-def search(coded: DataFrame, queries: list, quantiser: Quantiser, k: int, schema: str) -> DataFrame:
-    """Each task's k nearest rows for each query."""
+def search(coded: DataFrame, queries: list, quantiser: Quantiser, k: int, schema: str) -> tuple[DataFrame, Broadcast]:
+    """Each task's k nearest rows for each query, and what travels to the tasks for that."""
     ids = np.array([q[0] for q in queries], np.int64)
     asked = np.array([q[1] for q in queries], float).reshape(len(queries), quantiser.d)
     shared = coded.sparkSession.sparkContext.broadcast((ids, asked, quantiser))
@@ -186,7 +191,7 @@ def search(coded: DataFrame, queries: list, quantiser: Quantiser, k: int, schema
         q, r = np.nonzero(np.isfinite(best_d))
         yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(best_i[q, r]), pa.array(best_d[q, r])], names=["query_id", "vec_id", "score"])
 
-    return coded.mapInArrow(scan, schema)
+    return coded.mapInArrow(scan, schema), shared
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Operator 9: BPE encoding and decoding by tree concatenation.
 
-A text longer than LEAF characters is halved again and again; the leaves are encoded together in one
-batch (the tokenizers library runs a batch in parallel threads where it is allowed to), and the
+A text longer than LEAF characters is halved again and again; the leaves are encoded in parallel, THREADS
+parts at once (the tokenizers library lets other threads run while it encodes), and the
 halves are joined from the bottom up. At a join, a window of text around it is encoded anew. Left
 part, window and right part are put together where RUN successive tokens of the window agree, in id
 and place, with the left part, and again with the right part; if either side has no such run, the
@@ -27,6 +27,7 @@ import json
 import os
 import re
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from itertools import chain
 
 import numpy as np
@@ -35,6 +36,8 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common as C
 
 LEAF = 16384
+#: Parts of a long text that are encoded at once in a task.
+THREADS = 2
 WINDOW = 64
 RUN = 3
 MARGIN = 16
@@ -78,8 +81,12 @@ class Coder:
         return self.pieces(runs)
 
     def _run_spans(self, runs: list[str]) -> list[np.ndarray]:
-        """(id, start, end) of each token of each run."""
-        return self.pieces(runs, spans=True)
+        """(id, start, end) of each token of each run; many runs in parallel."""
+        if len(runs) < 2 or sum(map(len, runs)) < self.leaf:
+            return self.pieces(runs, spans=True)
+        size = -(-len(runs) // THREADS)
+        with ThreadPoolExecutor(THREADS) as pool:
+            return list(chain.from_iterable(pool.map(lambda k: self.pieces(runs[k : k + size], spans=True), range(0, len(runs), size))))
 
     def leaves(self, texts: list[str], at: list[int]) -> list[np.ndarray]:
         """(id, start, end) of the tokens of each text that begins at a place `at` of a longer one."""
@@ -132,6 +139,7 @@ class Coder:
         """The runs of a long text: at a join, the window grows to white space on either side, where both halves agree with it."""
         split, cuts = self.splitter(text), self.cuts(text)
         parts = [split(text[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]
+        self.encoded({r for x in parts for r in x if len(r) <= self.leaf})
         while len(parts) > 1:
             joined = []
             for k in range(0, len(parts) - 1, 2):
@@ -150,6 +158,19 @@ class Coder:
         """What cuts this text into runs between white space; str.split() also cuts at four separators that the vocabulary keeps."""
         return _RUNS.findall if any(x in text for x in KEPT) else str.split
 
+    def encoded(self, runs: set[str]) -> None:
+        """Fill the memo with runs of both halves of a long text, in parallel."""
+        new = [r for r in runs if r not in self.memo]
+        if sum(map(len, new)) < self.leaf:
+            return
+        size = -(-len(new) // THREADS)
+        with ThreadPoolExecutor(THREADS) as pool:
+            parts = list(pool.map(lambda k: self.pieces(new[k : k + size]), range(0, len(new), size)))
+        made = dict(zip(new, chain.from_iterable(parts), strict=True))
+        make, self.memo.make = self.memo.make, lambda keys: [made[k] if k in made else self.pieces([k])[0] for k in keys]
+        self.memo.fill(runs)
+        self.memo.make = make
+
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         if not self.drops_space:

@@ -21,9 +21,11 @@ SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local one, in local mode only: on a cluster executors would write where the driver cannot read."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: it has to name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="palimpsest-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -307,6 +309,18 @@ def bounded(spark: SparkSession) -> None:
         spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """names, longer ones where df has such columns."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

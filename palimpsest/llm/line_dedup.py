@@ -91,8 +91,9 @@ def drops(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
 def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, filter_bits: int = FILTER_BITS) -> DataFrame:
     """docs with text after the drops, n_lines (before) and n_dropped. Rows that lose nothing are unchanged."""
     others = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    lost_keys = drops(docs.select("doc_id", "text"), min_chars, min_docs, filter_bits).select(F.col("doc_id").alias("__id"), F.col("drop").alias("__drop")).hint("shuffle_hash")  # the narrow side is hashed, so that texts shuffle but are not sorted
-    marked = docs.select(*others, "text").join(lost_keys, F.col("doc_id") == F.col("__id"), "left")
+    key, drop_of = C.fresh(docs, "__id", "__drop")
+    lost_keys = drops(docs.select("doc_id", "text"), min_chars, min_docs, filter_bits).select(F.col("doc_id").alias(key), F.col("drop").alias(drop_of)).hint("shuffle_hash")  # the narrow side is hashed, so that texts shuffle but are not sorted
+    marked = docs.select(*others, "text").join(lost_keys, F.col("doc_id") == F.col(key), "left")
     at, lost = len(others), len(others) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,8 +115,8 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
                 yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(at)), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=[*others, "text", "n_lines", "n_dropped"])
         C.trim()
 
-    marked = marked.select(*others, "text", "__drop")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema if f.name != "__drop") + ", n_lines long, n_dropped long"
+    marked = marked.select(*others, "text", drop_of)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema if f.name != drop_of) + ", n_lines long, n_dropped long"
     return marked.mapInArrow(run, schema)
 
 

@@ -184,9 +184,10 @@ def rated(docs: DataFrame, classifier: Classifier, targets: dict[str, float] = T
 def mixed(docs: DataFrame, labels: DataFrame, domain: str = "lang", targets: dict[str, float] = TARGETS) -> DataFrame:
     """The rows of docs, each as often as its rate says, once at least: domains that fall short are repeated until shares match."""
     found = rated(docs, learnt(docs, labels, domain), targets, low=1.0, total="grow")
-    copies = found.groupBy("doc_id").agg(F.max("copies").alias("copies")).withColumnRenamed("doc_id", "__id").withColumnRenamed("copies", "__n").hint("shuffle_hash")  # texts shuffle but are not sorted
-    more = F.explode(F.sequence(F.lit(1), F.coalesce("__n", F.lit(1))))
-    return docs.join(copies, docs["doc_id"] == copies["__id"], "left").withColumn("__k", more).select(*docs.columns)
+    key, n, k = C.fresh(docs, "__id", "__n", "__k")
+    copies = found.groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias(n)).hint("shuffle_hash")  # texts shuffle but are not sorted
+    more = F.explode(F.sequence(F.lit(1), F.coalesce(n, F.lit(1))))
+    return docs.join(copies, docs["doc_id"] == copies[key], "left").withColumn(k, more).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,6 +92,27 @@ def test_tree_is_the_library(name):
         assert small.ids([text])[0].tolist() == t.encode(text, add_special_tokens=False).ids, text
 
 
+def test_long_texts_are_encoded_in_parts():
+    t, coder = tokenizer("word_bpe_49k.json"), bpe.Coder(public_tokenizers.path("word_bpe_49k.json"), leaf=200, window=8)
+    rng = random.Random(7)
+    text = " ".join("".join(rng.choice("abcdeéß日") for _ in range(rng.randint(1, 9))) for _ in range(3000)) + " " + "ab" * 400
+    assert coder.ids([text, "short"])[0].tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_op1_and_op9_queries_are_the_library(spark, small):
+    docs = C.table(spark, small, "documents").orderBy("doc_id").collect()
+    t, u = tokenizer("byte_bpe_50k.json"), tokenizer("word_bpe_49k.json")
+    one, nine = ({r.doc_id: r for r in queries.queries()[q](spark, small).collect()} for q in ("op1_token_files", "op9_bpe"))
+    at = 0
+    for d in docs:
+        ids = [*t.encode(d.text or "", add_special_tokens=False).ids, 0]
+        assert (one[d.doc_id].start, one[d.doc_id].n_tokens, one[d.doc_id].ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+        ids = u.encode(d.text or "", add_special_tokens=False).ids
+        assert (nine[d.doc_id].n_tokens, nine[d.doc_id].ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        assert nine[d.doc_id].decoded_sha256 == hashlib.sha256(u.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
 def test_bpe_edges(edges, empty):
     path, t = public_tokenizers.path("word_bpe_49k.json"), tokenizer("word_bpe_49k.json")
     got = {r.doc_id: r for r in bpe.digest(edges, path).collect()}
@@ -546,6 +567,31 @@ def test_a_template_that_looks_back_is_refused():
             r.add(("user", f"t{k}"))
 
 
+def test_a_template_that_rewrites_late_is_refused():
+    def render(turns):
+        return "".join(f"<{t}>" for _, t in (turns if len(turns) < 100 else turns[-50:]))
+
+    assert chat.Render(render).keep is None
+    plain = chat.Render(render)
+    for k in range(102):
+        plain.add(("user", f"t{k}"))
+    assert plain.rewritten is not None
+    render.stateless_after = 1
+    with pytest.raises(ValueError):
+        r = chat.Render(render)
+        for k in range(200):
+            r.add(("user", f"t{k}"))
+
+    def wide(turns):
+        return "".join(f"<{t}>" for _, t in turns) + "".join("!" for _ in turns[3:])
+
+    wide.stateless_after = 2
+    with pytest.raises(ValueError):
+        r = chat.Render(wide)
+        for k in range(200):
+            r.add(("user", f"t{k}"))
+
+
 def test_chat_edges(spark):
     schema = "conv_id long, turn long, role string, text string, piece string"
     turns = spark.createDataFrame([(1, None, None, None, "p"), (1, 1, "assistant", "b", "p"), (1, 1, "assistant", "a", "p"), (None, 0, "user", "x", None)], schema)
@@ -577,6 +623,15 @@ def test_ann_recall(spark):
     assert [i for i, _ in got[100]] == [k for k in range(99, 110) if k != 100]
 
 
+def test_ann_blocks_of_queries(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(k, [float(x) for x in rng.normal(size=8)]) for k in range(300)], "vec_id long, embedding array<float>")
+    get = lambda: sorted((r.query_id, r["rank"], r.vec_id) for r in ann.neighbours(rows, rows.where("vec_id % 3 = 0"), 5).collect())
+    whole = get()
+    monkeypatch.setattr(ann, "QUERIES", 20)
+    assert len(whole) == 500 and get() == whole
+
+
 def test_ann_edges(spark):
     schema = "vec_id long, embedding array<float>, score double, rank int"
     bad = [(0, None, 1.0, 1), (1, [0.0, 0.0], 1.0, 1), (2, [1.0, None], 1.0, 1), (3, [float("nan"), 1.0], 1.0, 1), (4, [float("inf"), 1.0], 1.0, 1), (5, [1.0], 1.0, 1), (None, [1.0, 2.0], 1.0, 1), (6, [], 1.0, 1)]
@@ -644,3 +699,26 @@ def test_numbers_in_planes_round_trip():
         x = np.random.default_rng(top).integers(0, top, 1000).astype(np.int32)
         assert (lm_scoring.unplaned(lm_scoring.planes(x), 1000) == x).all()
     assert len(lm_scoring.unplaned(lm_scoring.planes(np.zeros(0, np.int32)), 0)) == 0
+
+
+def test_columns_with_inner_names_stay(spark):
+    texts = [LONG, LONG + "\nown", *([LONG] * 4), None, ""]
+    docs = frame(spark, texts).withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in ("__id", "__drop", "__n", "__k", "__bucket", "kept", "copies")})
+    labels = spark.createDataFrame([(0,), (1,)], "doc_id long")
+    for out in (lines.dedup(docs).select(*docs.columns), mixing.mixed(docs, labels), near_dedup.dedup(docs)):
+        assert out.columns == docs.columns and all(r["__id"] == f"__id{r.doc_id}" and r["__drop"] == f"__drop{r.doc_id}" and r["__k"] == f"__k{r.doc_id}" for r in out.collect())
+    kept = {r.doc_id: r.text for r in lines.dedup(docs).collect()}
+    assert kept[1] == "own" and kept[5] == LONG and kept[0] == ""
+
+
+def test_pipeline_of_nothing_and_of_edges(spark, tmp_path, edges, empty):
+    import corpus_pipeline as p
+
+    labels = spark.createDataFrame([(4, 1, 0), (5, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    for name, docs in (("edges", edges), ("empty", empty)):
+        d = str(tmp_path / name)
+        docs.withColumn("__id", F.lit(1)).write.parquet(f"{d}/documents.parquet")
+        labels.write.parquet(f"{d}/labels.parquet")
+        rows = p.run(spark, d).collect()
+        assert (len(rows) == 0) == (name == "empty")
+    assert None in {r.doc_id for r in p.run(spark, str(tmp_path / "edges")).collect()}
