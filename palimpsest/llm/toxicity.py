@@ -48,7 +48,7 @@ PATTERNS = [(a, b, DECAY ** (b - 2)) for b in range(2, SPAN) for a in range(1, b
 WIDTH, OVERLAP = 32, 16
 LANDMARKS, CLEAN_LANDMARKS, WHOLE = 64, 16, 3
 GRAMS = range(4, 11)
-MOST_TOXIC, MOST_CLEAN = 1000, 3000
+MOST_TOXIC, MOST_CLEAN = 1000, 2000
 #: A training text counts for landmarks until it holds so many.
 COVER = 8
 #: A landmark is so unlikely to be found by chance among all candidates.
@@ -172,15 +172,16 @@ class Model:
 
     def features(self, texts: list[set[bytes]]) -> np.ndarray:
         """Landmark features, words and 1, of each text, over 1 + words / HALF."""
-        words = list(set().union(*texts)) if texts else []
-        number = {w: k for k, w in enumerate(words)}
-        z = self.kernels(words)
-        out = np.zeros((len(texts), len(self.landmarks) + 2))
-        for i, t in enumerate(texts):
-            out[i, :-2] = z[[number[w] for w in t]].sum(axis=0, dtype=float) @ self.root if t else 0
-            out[i, -2:] = len(t) / HALF, 1
-            out[i] /= 1 + len(t) / HALF
-        return out
+        number: dict[bytes, int] = {}
+        pairs = np.array([(number.setdefault(w, len(number)), i) for i, t in enumerate(texts) for w in t], np.int32).reshape(-1, 2)
+        pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+        words = list(number)
+        sums = np.zeros((len(texts), len(self.landmarks)))
+        for lo in range(0, len(words), 10_000):
+            a, b = np.searchsorted(pairs[:, 0], [lo, lo + 10_000])
+            np.add.at(sums, pairs[a:b, 1], self.kernels(words[lo : lo + 10_000])[pairs[a:b, 0] - lo])
+        n = np.array([[len(t)] for t in texts], float).reshape(-1, 1)
+        return np.column_stack([sums @ self.root, n / HALF, np.ones(len(texts))]) / (1 + n / HALF)
 
 
 @cache
@@ -218,14 +219,20 @@ def landmarks_of(toxic: list[set[bytes]], clean: list[set[bytes]]) -> tuple[list
     owners: dict[bytes, list[int]] = {}
     least = max(2, len(toxic) // 200)
     # a string is in enough texts only if its start is: longer ones are looked for from the frequent shorter ones
-    frequent: set[bytes] = set()
+    frequent: dict[bytes, int] = {}
     before: set[bytes] = set()
     for n in GRAMS:
         seen: Counter = Counter()
         for t in toxic:
             seen.update({g for w in t for k in range(len(w) - n + 1) if (g := w[k : k + n])[:-1] in before or n == GRAMS[0]})
-        before = {g for g, c in seen.items() if c >= least}
-        frequent |= before
+        some = {g: c for g, c in seen.items() if c >= least}
+        before = set(some)
+        frequent |= some
+    del seen, before, some
+    share = len(toxic) / (len(toxic) + len(clean))
+    # strings that chance explains even if no clean text holds them are counted as candidates and left out
+    candidates = len(frequent)
+    frequent = {g: c for g, c in frequent.items() if share**c * candidates < CHANCE}
     for i, t in enumerate(toxic):
         for g in {g for w in t for n in GRAMS for k in range(len(w) - n + 1) if (g := w[k : k + n]) in frequent}:
             owners.setdefault(g, []).append(i)
@@ -237,9 +244,8 @@ def landmarks_of(toxic: list[set[bytes]], clean: list[set[bytes]]) -> tuple[list
     for t in toxic:
         words_of_toxic.update(g for w in t for g in {w[k : k + n] for n in GRAMS for k in range(len(w) - n + 1)} if g in owners)
     many, most = sum(map(len, toxic)), sum(map(len, clean))
-    share = len(toxic) / (len(toxic) + len(clean))
     worth = lambda g: telling(words_of_toxic[g], many, words_of_clean[g], most)
-    sure = lambda g, n: n > (n + in_clean[g]) * share and chance(n, in_clean[g], share) * len(owners) < CHANCE
+    sure = lambda g, n: n > (n + in_clean[g]) * share and chance(n, in_clean[g], share) * candidates < CHANCE
     pool = {g: set(x) for g, x in owners.items() if sure(g, len(x))}
     chosen: list[bytes] = []
     covered: Counter = Counter()
