@@ -121,14 +121,14 @@ class Model:
         self.root = vectors @ np.diag(np.maximum(values, 1e-6) ** -0.5) @ vectors.T
         self.weights, self.per_word, self.bias, self.slope, self.offset = np.zeros(len(keep)), 0.0, 0.0, 0.0, -50.0
         self.table = None
-        self.memo = C.Memo(self.parts)
+        self.memo = C.Memo(self.parts, 300_000)
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in ("table", "memo")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
-        self.table, self.memo = None, C.Memo(self.parts)
+        self.table, self.memo = None, C.Memo(self.parts, 300_000)
 
     def drop(self) -> None:
         self.table = None
