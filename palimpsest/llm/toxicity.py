@@ -54,6 +54,8 @@ COVER = 8
 #: A landmark is so unlikely to be found by chance among all candidates.
 CHANCE = 0.01
 HALF = 100
+#: So many words are taken at a time: their subsequences take some 40 MB.
+CHUNK = 2000
 #: What clean texts, clean words alone, toxic texts, those with torn insults, and torn insults alone weigh in training.
 SHARES = (3.0, 1.0, 0.5, 0.3, 0.2)
 #: Before each word, so that its start takes part in subsequences.
@@ -141,8 +143,8 @@ class Model:
             self.table[self.codes] = np.arange(1, len(self.codes) + 1)
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
         by_length = np.argsort(np.array(list(map(len, words)), np.int64), kind="stable")
-        for lo in range(0, len(words), 10_000):
-            part = by_length[lo : lo + 10_000]
+        for lo in range(0, len(words), CHUNK):
+            part = by_length[lo : lo + CHUNK]
             k, codes, f = profiles([words[i] for i in part])
             norm = np.bincount(k, f * f, len(part))
             r = self.table[codes]
@@ -173,13 +175,15 @@ class Model:
     def features(self, texts: list[set[bytes]]) -> np.ndarray:
         """Landmark features, words and 1, of each text, over 1 + words / HALF."""
         number: dict[bytes, int] = {}
-        pairs = np.array([(number.setdefault(w, len(number)), i) for i, t in enumerate(texts) for w in t], np.int32).reshape(-1, 2)
-        pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+        word = np.fromiter((number.setdefault(w, len(number)) for t in texts for w in t), np.int32)
+        text = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])
+        by = np.argsort(word, kind="stable").astype(np.int32)
+        word, text = word[by], text[by]
         words = list(number)
         sums = np.zeros((len(texts), len(self.landmarks)))
-        for lo in range(0, len(words), 10_000):
-            a, b = np.searchsorted(pairs[:, 0], [lo, lo + 10_000])
-            np.add.at(sums, pairs[a:b, 1], self.kernels(words[lo : lo + 10_000])[pairs[a:b, 0] - lo])
+        for lo in range(0, len(words), CHUNK):
+            a, b = np.searchsorted(word, [lo, lo + CHUNK])
+            np.add.at(sums, text[a:b], self.kernels(words[lo : lo + CHUNK])[word[a:b] - lo])
         n = np.array([[len(t)] for t in texts], float).reshape(-1, 1)
         return np.column_stack([sums @ self.root, n / HALF, np.ones(len(texts))]) / (1 + n / HALF)
 
@@ -297,7 +301,9 @@ def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10.0, st
 
 def train(toxic: list[bytes], clean: list[bytes]) -> Model:
     """The model of labelled texts."""
-    good, bad = [units(t) for t in dict.fromkeys(clean)], [units(t) for t in dict.fromkeys(toxic)]
+    same: dict[bytes, bytes] = {}  # a word of many texts is held once
+    good, bad = ([{same.setdefault(w, w) for w in units(t)} for t in dict.fromkeys(texts)] for texts in (clean, toxic))
+    del same
     if not good or not bad:
         return Model([])
     marks, n, pure = landmarks_of(bad, good)
@@ -331,6 +337,9 @@ def train(toxic: list[bytes], clean: list[bytes]) -> Model:
         if abs(step).max() < 1e-7:
             break
     model.slope, model.offset = max(float(c[0]), 0.0), float(c[1])
+    model.drop()
+    del good, bad, gapped, groups, x
+    C.trim()
     return model
 
 
