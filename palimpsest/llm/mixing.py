@@ -13,6 +13,10 @@ back from the tasks, no rates are stored, and a lost task is simply run again. S
 is within TOLERANCE of all words, or when STALL steps have not brought the largest miss down by a fiftieth;
 what was reached is logged, as a warning if targets were missed.
 
+Where no document may shrink, a total has to be found that leaves room: raising one domain raises others too, as
+posteriors are soft. With G_de = sum over i of t_i p_id p_ie, rates 1 + p_i x give the totals G (1 + x), so that shares w
+are met at total T by x = T G^-1 w - 1: T is the least at which x >= 0, GROW times the least at which no domain shrinks at most.
+
 The classifier reads LABELLED labelled documents at most (the smallest hashes of doc_id), of the DOMAINS
 most frequent domains among them; totals and rates cover all documents.
 
@@ -41,6 +45,8 @@ LABELLED, DOMAINS = 2000, 64
 BUCKETS = 1 << 15
 SOFT = 1.5
 RIDGE, STEPS, STALL, TOLERANCE = 1e-4, 300, 15, 1e-3
+#: What "grow" may make of the least total at which no domain shrinks, at most.
+GROW = 2.0
 #: Token shares that the query and the pipeline ask for.
 TARGETS = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
 
@@ -115,7 +121,7 @@ class Rates:
 
 
 def rated(docs: DataFrame, classifier: Classifier, targets: dict[str, float] = TARGETS, low: float = 0.0, high: float = float("inf"), total: float | str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, posterior, rate, copies) of each row of docs (doc_id, text). total: tokens to aim at (None: what there is; "grow": so many that no domain shrinks)."""
+    """(doc_id, n_tokens, posterior, rate, copies) of each row of docs (doc_id, text). total: tokens to aim at (None: what there is; "grow": so many that no document need shrink)."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(classifier)
 
@@ -141,8 +147,26 @@ def rated(docs: DataFrame, classifier: Classifier, targets: dict[str, float] = T
                 out += np.concatenate([(held.ahead * t) @ p, (r * t) @ p])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(2 * n)), pa.array(out)], names=["k", "v"])
 
-        got = {r.k: r.v for r in table.select("n_tokens", "posterior").mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}  # two rows a domain
-        return np.array([got.get(k, 0.0) for k in range(2 * n)])
+        return summed(run, 2 * n)
+
+    def summed(run, size: int) -> np.ndarray:
+        got = {r.k: r.v for r in table.select("n_tokens", "posterior").mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}  # size rows
+        return np.array([got.get(k, 0.0) for k in range(size)])
+
+    def shared_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The words that each two domains share at rates of 1."""
+        out = np.zeros((n, n))
+        for b in batches:
+            t, p = b.column(0).to_numpy(), b.column(1).flatten().to_numpy().reshape(-1, n)
+            out += (p * t[:, None]).T @ p
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n * n)), pa.array(out.ravel())], names=["k", "v"])
+
+    def room(now: np.ndarray) -> float:
+        """The total at which rates of 1 or more can meet the targets."""
+        least = float(np.max(now[weights > 0] / weights[weights > 0]))
+        some = weights > 0
+        part = np.linalg.lstsq(summed(shared_words, n * n).reshape(n, n)[some][:, some], weights[some], rcond=None)[0].min()
+        return min(GROW * least, max(least, 1 / part)) if part > 0 else GROW * least
 
     residuals: list[np.ndarray] = []
     if n and weights.sum() > 0:
@@ -150,7 +174,7 @@ def rated(docs: DataFrame, classifier: Classifier, targets: dict[str, float] = T
         now = totals([])[n:]
         whole = float(now.sum())
         if whole > 0:
-            goal = weights * (float(np.max(now[weights > 0] / weights[weights > 0])) if total == "grow" else whole if total is None else total)
+            goal = weights * (room(now) if total == "grow" else whole if total is None else total)
             scale = np.maximum(now, 1e-9 * whole)
             least, best, mark, since = np.inf, 0, np.inf, 0
             for k in range(STEPS + 1):

@@ -261,6 +261,21 @@ def test_mixing_meets_targets_of_skewed_sources(spark):
         assert np.abs(sums / sums.sum() - [0.4, 0.2, 0.2, 0.2]).max() < 0.005 and min(r.rate for r in rows) >= low
 
 
+def test_mixing_leaves_room_where_posteriors_are_soft(spark):
+    texts = {x: f"{x} s s " * 10 for x in "abc"}
+    docs = spark.createDataFrame([(k, texts[x]) for k, x in enumerate("a" * 70 + "b" * 20 + "c" * 10)], "doc_id long, text string")
+    classifier = mixing.Classifier([texts[x].encode() for x in "abc"], list("abc"))
+    rows = mixing.rated(docs, classifier, {"a": 0.5, "b": 0.3, "c": 0.2}, low=1.0, total="grow").collect()
+    p, t, r = np.array([x.posterior for x in rows]), np.array([x.n_tokens for x in rows]), np.array([x.rate for x in rows])
+    assert p.max() < 0.9
+    sums = (r * t) @ p
+    assert np.abs(sums / sums.sum() - [0.5, 0.3, 0.2]).max() < 0.002 and r.min() >= 1
+    # brute force over totals: the least one at which rates of 1 + p x can meet the targets
+    g = (p * t[:, None]).T @ p
+    least = next(x for x in np.arange(1, 4, 0.001) * t.sum() if (np.linalg.solve(g, x * np.array([0.5, 0.3, 0.2])) >= 1).all())
+    assert abs(sums.sum() / least - 1) < 0.005
+
+
 def test_mixing_edges(spark, edges, empty):
     labels = spark.createDataFrame([(1,), (None,)], "doc_id long")
     for docs in (edges, empty):
