@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 
 
 def islands(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """rows (keys, valid_from, valid_to, evidence) with touching or overlapping intervals of equal keys merged; a null valid_to is open."""
+    """rows (keys, valid_from, valid_to, evidence) with touching or overlapping intervals of equal keys merged; a null valid_to is open, a row without valid_from stays alone."""
     forever = F.lit(2**63 - 1)
-    order = W.partitionBy(*keys).orderBy("valid_from", F.coalesce("valid_to", forever))
-    before = F.max(F.coalesce("valid_to", forever)).over(order.rowsBetween(W.unboundedPreceding, -1))
-    marked = rows.withColumn("__new", F.coalesce((F.col("valid_from") > before).cast("int"), F.lit(1)))
+    # the end is a column of its own, so that both windows share one sort: rows that start and end together stand in the same order in both
+    order = W.partitionBy(*keys).orderBy(F.col("valid_from").asc_nulls_last(), "__end")
+    before = F.max("__end").over(order.rowsBetween(W.unboundedPreceding, -1))
+    marked = rows.withColumn("__end", F.coalesce("valid_to", forever)).withColumn("__new", F.coalesce((F.col("valid_from") > before).cast("int"), F.lit(1)))
     numbered = marked.withColumn("__island", F.sum("__new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    out = numbered.groupBy(*keys, "__island").agg(F.min("valid_from").alias("valid_from"), F.max(F.coalesce("valid_to", forever)).alias("valid_to"), F.sum("evidence").alias("evidence"))
+    out = numbered.groupBy(*keys, "__island").agg(F.min("valid_from").alias("valid_from"), F.max("__end").alias("valid_to"), F.sum("evidence").alias("evidence"))
     return out.drop("__island").withColumn("valid_to", F.when(F.col("valid_to") < forever, F.col("valid_to")))
 
 
