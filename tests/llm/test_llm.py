@@ -607,6 +607,33 @@ def test_a_template_that_rewrites_late_is_refused():
             r.add(("user", f"t{k}"))
 
 
+def test_a_template_is_refused_whatever_the_size():
+    def render(turns):
+        return "".join(f"<{t}>" for _, t in (turns if len(turns) < 100 else turns[-50:]))
+
+    render.stateless_after = 1
+    for size in (1, 600_000):
+        r = chat.Render(render)
+        with pytest.raises(ValueError):
+            for k in range(140):
+                r.add(("user", f"{k}" + "x" * size))
+        assert len(r.turns) == 128
+
+    # short or long, the new part comes from the last turns alone
+    seen = []
+
+    def plain(turns):
+        seen.append(len(turns))
+        return "".join(f"<{t}>" for _, t in turns)
+
+    plain.stateless_after = 1
+    r = chat.Render(plain)
+    for k in range(100):
+        seen.clear()
+        added, a, z = r.add(("user", f"t{k}"))
+        assert added[a:z] == f"t{k}" and min(seen) == (k > 0)
+
+
 def test_chat_edges(spark):
     schema = "conv_id long, turn long, role string, text string, piece string"
     turns = spark.createDataFrame([(1, None, None, None, "p"), (1, 1, "assistant", "b", "p"), (1, 1, "assistant", "a", "p"), (None, 0, "user", "x", None)], schema)
