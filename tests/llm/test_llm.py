@@ -544,6 +544,28 @@ def test_lm_tells_documents_that_occur_twice(spark):
     assert all(r.n_bytes == len(texts[k]) and r.bits_per_byte == pytest.approx(-r.score * np.log2(10) / len(texts[k])) for k, r in got.items())
 
 
+def test_lm_weights_are_learnt_from_everything(spark):
+    rng = random.Random(8)
+    words = sorted({"".join(rng.choice("abcdeéß") for _ in range(rng.randint(5, 8))).encode() for _ in range(60_000)})
+    assert len(words) > 42_000
+    speller = lm_scoring.spelled(spark.createDataFrame([(w, 1 + k % 3) for k, w in enumerate(words)], "word binary, c long"))
+    assert speller.mixer.seen.sum() == 8 * sum(len(w) + 1 for w in words)
+    table = np.zeros_like(speller.table)
+    lm_scoring.count(words, table)
+    alone = lm_scoring.Speller(table)
+    alone.learn(words)
+    assert (speller.mixer.seen == alone.mixer.seen).all() and np.allclose(speller.mixer.weights, alone.mixer.weights)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(1, 12))) for _ in range(700)]
+    blocks = lm_scoring.blocks_of(frame(spark, texts).select("doc_id", "text")).localCheckpoint()
+    chooser = lm_scoring.chosen(blocks, lm_scoring.answers_of(blocks))
+    n = 0
+    for row in blocks.collect():
+        whole, ids, _, train = lm_scoring.opened(row.asDict())
+        d = whole.laid().decisions(ids, no_answers())
+        n += train[whole.owner[d.place]].sum()
+    assert train.sum() * 4 > 400 and chooser.mixer.seen.sum() == n
+
+
 def test_lm_edges(edges, empty):
     rows = lm_scoring.scored(edges).collect()
     assert len(rows) == edges.count() and {r.doc_id: r.n_tokens for r in rows}[1] == 1 and lm_scoring.scored(empty).count() == 0
