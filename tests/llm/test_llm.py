@@ -566,6 +566,33 @@ def test_lm_weights_are_learnt_from_everything(spark):
     assert train.sum() * 4 > 400 and chooser.mixer.seen.sum() == n
 
 
+def test_lm_learns_without_shuffling_texts(spark):
+    """Texts and their anchors meet once: what learns from them only reads."""
+    rng = random.Random(5)
+    same = " ".join(f"w{rng.randrange(50)}" for _ in range(400))
+    texts = [*(" ".join(f"w{rng.randrange(300)}" for _ in range(60)) for _ in range(80)), same, same + " end", None, ""]
+    blocks = C.written(lm_scoring.blocks_of(frame(spark, texts).select("doc_id", "text").repartition(3)), "test-blocks")
+    answers = lm_scoring.answers_of(blocks)
+    met = lm_scoring.answered(blocks, answers)
+    assert met.count() == blocks.count() > 1 and "Exchange" not in met._jdf.queryExecution().executedPlan().toString()
+    for row in met.collect():
+        want = lm_scoring.Answers.of(answers.where(f"block = {row.block}").toArrow())
+        got = lm_scoring.Answers.unpacked(row.answers, row.n_answers)
+        assert all((a == b).all() for a, b in zip(vars(got).values(), vars(want).values(), strict=True))
+    assert answers.count() > 0
+    # taken from tables, predictions without a word are those that its counts give
+    words = [b"hello", b"help", b"help", "é".encode(), b""]
+    table = np.zeros((int(lm_scoring.sizes_of(1)[-1]), 2), np.float32)
+    lm_scoring.count(words[:3], table)
+    stretched, gate, _, bits, _ = lm_scoring.Speller(table).inputs([b"help ", b"new "], True)
+    slots, _, _, _ = lm_scoring.bits_of([b"help ", b"new "])
+    for got, at in zip(stretched, slots, strict=True):
+        n = table[at]
+        n[..., 0] -= bits == 0
+        n[..., 1] -= bits == 1
+        assert (got == lm_scoring.stretch(*np.moveaxis(np.maximum(n, 0), -1, 0))).all()
+
+
 def test_lm_edges(edges, empty):
     rows = lm_scoring.scored(edges).collect()
     assert len(rows) == edges.count() and {r.doc_id: r.n_tokens for r in rows}[1] == 1 and lm_scoring.scored(empty).count() == 0
