@@ -19,10 +19,10 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,9 +33,12 @@ PART_BYTES = 64 << 20
 #: Lengths of the four values that a control byte announces.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.int64) + 1
 
-#: White space followed by a space.
-SPACED = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
-SPACED_ASCII = [x for x in SPACED if x.isascii()]
+#: Bytes of texts that are encoded at once.
+TEXT_BYTES = 8 << 20
+#: By byte: what is no white space whatever stands around it (0xC3 to 0xDF begin letters and marks), ASCII letters, marks that no letter joins.
+SOLID = np.isin(np.arange(256), [*range(0x21, 0x7F), *range(0xC3, 0xE0)])
+LETTER = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+MARK = np.isin(np.arange(256), list(b".,;:!?\"#$%&()*+-/=@[]^_{}~"))
 
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
@@ -65,8 +68,9 @@ class Encoder:
     """Ids of texts by a tokenizers file, through a memo of the pieces between safe cuts.
 
     A byte-level vocabulary with this split pattern never joins the two sides of a space that follows
-    a character other than white space: there a new piece begins, whatever lies before. Pieces cut
-    at such spaces have the ids they have in the whole text.
+    a character other than white space: there a new piece begins, whatever lies before. Nor does it join
+    a line feed between characters other than white space with either of them, or a letter up to U+00FF with a mark
+    after it, apostrophes aside. Pieces cut at such places have the ids they have in the whole text.
     """
 
     _made: dict[str, "Encoder"] = {}
@@ -85,6 +89,8 @@ class Encoder:
         #: Bytes of each token: the vocabulary is byte-level, so a token has a character a byte.
         self.n_bytes = np.array([len(self.tokenizer.id_to_token(k) or "") for k in range(size)])
         self.memo = C.Memo(self.encode, 200_000)
+        #: Cuts besides those at spaces, where no added token lies across one.
+        self.fine = not any(self.cuts(np.frombuffer(x.content.encode(), np.uint8), True)[1:].any() for x in self.tokenizer.get_added_tokens_decoder().values())
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -93,57 +99,83 @@ class Encoder:
         C.hold("token files", cls._made[path].memo.drop)
         return cls._made[path]
 
-    def encode(self, pieces: list[str]) -> list[bytes]:
+    def encode(self, raw: list[bytes]) -> list[bytes]:
         """Ids of each piece. Pieces that safe cuts would set apart are encoded as one text, whose ids are dealt out by the bytes they cover."""
-        out: list = [None] * len(pieces)
-        plain = [k for k, p in enumerate(pieces) if p[:1] == " " and len(p) > 1 and not p[-1].isspace() and "<" not in p]
+        out: list = [None] * len(raw)
+        plain = [k for k, p in enumerate(raw) if len(p) > 1 and p[0] == 0x20 and b"<" not in p and (0x20 < p[-1] < 0x7F or p[-1] > 0x7F and not p.decode()[-1].isspace())]
         for first in range(0, len(plain), 4096):
             group = plain[first : first + 4096]
-            texts = [pieces[k] for k in group]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids, self.kind)
-            ends = np.cumsum([len(t) if t.isascii() else len(t.encode()) for t in texts])
+            ids = np.array(self.tokenizer.encode_batch_fast([b"".join([raw[k] for k in group]).decode()], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.cumsum([len(raw[k]) for k in group])
             cuts = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1
-            raw, a = ids.tobytes(), 0
+            packed, a = ids.tobytes(), 0
             for k, b in zip(group, (ids.itemsize * cuts).tolist(), strict=True):
-                out[k] = raw[a:b]
+                out[k] = packed[a:b]
                 a = b
         rest = [k for k, x in enumerate(out) if x is None]
-        for k, x in zip(rest, self.batch([pieces[k] for k in rest]), strict=True):
+        for k, x in zip(rest, self.batch([raw[k].decode() for k in rest]), strict=True):
             out[k] = np.frombuffer(x, "<u4").astype(self.kind).tobytes()
         return out
 
     @staticmethod
-    def pieces(text: str) -> list[str]:
-        if "\0" not in text and not any(x in text for x in (SPACED_ASCII if text.isascii() else SPACED)):
-            return text.replace(" ", "\0 ").split("\0")
-        got = text.split(" ")
-        out = [got[0]]
-        safe = bool(got[0]) and not got[0][-1].isspace()
-        for x in got[1:]:
-            if safe:
-                out.append(" " + x)
-            else:
-                out[-1] += " " + x
-            safe = bool(x) and not x[-1].isspace()
-        return out
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, packed as `kind`."""
-        cut = [self.pieces(t) if t else [] for t in texts]
-        memo = self.memo.fill(chain.from_iterable(cut))
-        return [b"".join(map(memo.__getitem__, x)) for x in cut]
+    def cuts(text: np.ndarray, fine: bool) -> np.ndarray:
+        """Whether a piece may begin at each byte of UTF-8, whatever text it is part of."""
+        cut = np.zeros(len(text), bool)
+        cut[1:] = (text[1:] == 0x20) & (text[:-1] > 0x20)
+        at = np.flatnonzero(cut)
+        at = at[text[at - 1] >= 0x80]
+        if len(at):
+            # white space outside ASCII: U+0085, U+00A0; U+1680, U+2000 to 200A, 2028, 2029, 202F, 205F, U+3000
+            z, y, x = text[at - 1], text[at - 2], text[np.maximum(at - 3, 0)]
+            two = (y == 0xC2) & ((z == 0x85) | (z == 0xA0))
+            e2 = (x == 0xE2) & (((y == 0x80) & ((z <= 0x8A) | (z == 0xA8) | (z == 0xA9) | (z == 0xAF))) | ((y == 0x81) & (z == 0x9F)))
+            cut[at[two | e2 | ((x == 0xE1) & (y == 0x9A) & (z == 0x80)) | ((x == 0xE3) & (y == 0x80) & (z == 0x80))]] = False
+        if fine and len(text) > 1:
+            at = np.flatnonzero(MARK[text[1:]]) + 1
+            y, z = text[np.maximum(at - 2, 0)], text[at - 1]
+            # U+00C0 to U+00FF but for the signs of times and division
+            cut[at[LETTER[z] | ((y == 0xC3) & (z >= 0x80) & (z != 0x97) & (z != 0xB7))]] = True
+            at = np.flatnonzero(text[1:-1] == 0x0A) + 1
+            before = text[at - 1]
+            at = at[(before > 0x20) & (before < 0x7F) & SOLID[text[at + 1]]]
+            cut[at] = cut[at + 1] = True
+        return cut
+
+    def ids(self, texts: pa.Array, end: int) -> pa.Array:
+        """The ids of each text (UTF-8, null: empty) and `end`, packed as `kind`."""
+        texts = pc.fill_null(texts.cast(pa.binary()), b"")
+        at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+        at = at - at[0]
+        cut = self.cuts(raw, self.fine)
+        cut[at[:-1][at[:-1] < at[1:]]] = True
+        begins = np.append(np.flatnonzero(cut), len(raw)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(begins) - 1, [None, pa.py_buffer(begins), pa.py_buffer(raw)]).dictionary_encode()
+        distinct = pieces.dictionary.to_pylist()
+        memo = self.memo.fill(distinct)
+        packed = pa.array([*map(memo.__getitem__, distinct), np.array([end], self.kind).tobytes()], pa.binary())
+        # the end is one more piece of each text; the pieces' ids, taken in order, are the texts'
+        ends = np.searchsorted(begins[:-1], at[1:])
+        got = packed.take(pa.array(np.insert(pieces.indices.to_numpy(), ends, len(distinct))))
+        upto = np.frombuffer(got.buffers()[1], np.int32)[: len(got) + 1][np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])]
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(upto.copy()), got.buffers()[2]])
 
 
 def encode(docs: DataFrame, vocabulary: str, end_id: int = 0) -> tuple[DataFrame, str]:
     """(doc_id, n_tokens, ids) of each row, end_id appended, and how the ids are packed: little-endian, 2 or 4 bytes each."""
     kind = Encoder.of(vocabulary).kind
-    end = np.array([end_id], kind).tobytes()
+    width = np.dtype(kind).itemsize
 
-    def work(doc_ids, texts):
-        ids = [x + end for x in Encoder.of(vocabulary).ids([(t or b"").decode() for t in texts])]
-        return doc_ids, [len(x) // len(end) for x in ids], ids
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in C.slices(whole, "text", TEXT_BYTES):
+                ids = Encoder.of(vocabulary).ids(b.column(1), end_id)
+                n = pc.divide(pc.binary_length(ids), width).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0), n, ids], names=["doc_id", "n_tokens", "ids"])
+        C.release()
 
-    return C.map_text(docs, ["doc_id", "text"], "doc_id long, n_tokens long, ids binary", work), kind
+    C.bounded(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids binary"), kind
 
 
 def rank_table(encoded: DataFrame, kind: str, path: str) -> DataFrame:
@@ -152,11 +184,10 @@ def rank_table(encoded: DataFrame, kind: str, path: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(0, np.int64)
         for b in batches:
-            for x in b.column(0):
-                c = np.bincount(np.frombuffer(x.as_buffer(), kind))
-                if len(c) > len(n):
-                    n = np.concatenate([n, np.zeros(len(c) - len(n), np.int64)])
-                n[: len(c)] += c
+            c = np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), kind))
+            if len(c) > len(n):
+                n = np.concatenate([n, np.zeros(len(c) - len(n), np.int64)])
+            n[: len(c)] += c
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["id", "n"])
 

@@ -72,6 +72,25 @@ def test_token_files_hold_what_the_library_says(spark, edges, tmp_path):
         at += len(want)
 
 
+def test_token_pieces_are_the_library():
+    """Pieces between cuts have the ids of the whole text, and words beside marks and line feeds are encoded once."""
+    t, coder = tokenizer("byte_bpe_50k.json"), token_files.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(4)
+    parts = [*PARTS, ".", ",", "word", " word", "\u00a0", "\u1680", "\u2003", "\u2028", "\u202f", "\u205f", "ã", "à", "…", "'s.", "é.", "×.", "÷,", "b$$", "_", "x-y", "|", "a(b)", "#",  "<", "\r", "\x00", "\x7f", "\n ", "x.\nY", "\n\n"]
+    texts = [None, "", "\n", " ", "."]
+    for _ in range(1500):
+        some = rng.sample(parts, rng.randint(1, len(parts)))
+        texts.append("".join(rng.choice(some) for _ in range(rng.randint(0, 60))))
+    texts = pa.array([*texts, None, ""])
+    got = [np.frombuffer(x, coder.kind).tolist() for x in coder.ids(texts[3:], 7).to_pylist()]
+    assert got == [[*t.encode(x or "", add_special_tokens=False).ids, 7] for x in texts[3:].to_pylist()]
+    assert coder.fine and coder.ids(texts[:0], 7).to_pylist() == []
+    seen = []
+    coder.memo = C.Memo(lambda pieces: seen.extend(pieces) or coder.encode(pieces), 1000)
+    coder.ids(pa.array([" abc abc, abc.\nabc abc;\nabc abc"]), 0)
+    assert sorted(seen) == [b"\n", b" abc", b",", b".", b";", b"abc"]
+
+
 def test_token_files_of_nothing(spark, empty, tmp_path):
     token_files.write(empty.select("doc_id", "text"), str(tmp_path / "x"), public_tokenizers.path("byte_bpe_50k.json"))
     assert token_files.read(spark, str(tmp_path / "x")).count() == 0
