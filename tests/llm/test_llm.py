@@ -612,6 +612,14 @@ def test_lm_learns_without_shuffling_texts(spark):
         assert (got == lm_scoring.stretch(*np.moveaxis(np.maximum(n, 0), -1, 0))).all()
 
 
+def test_lm_what_follows_ends_with_the_text():
+    """Whether or not another text comes after it."""
+    text = "a b c d e f"
+    (one, _), (two, _) = block_of([text]), block_of([text, "g h"])
+    p = np.array([4])
+    assert (one.following(p) == two.following(p)).all() and (one.following(p)[0] != 0).sum() == 2
+
+
 def test_lm_edges(edges, empty):
     rows = lm_scoring.scored(edges).collect()
     assert len(rows) == edges.count() and {r.doc_id: r.n_tokens for r in rows}[1] == 1 and lm_scoring.scored(empty).count() == 0
